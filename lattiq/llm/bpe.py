@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from lattiq.llm.common import check_columns, map_arrow, slices
 
 #: Words in each of the two generations that a worker remembers, so memory is bounded.
-CACHE_WORDS = 130_000
+CACHE_WORDS = 250_000
 CACHE_PAIRS = 500_000
 #: Longer words are not remembered.
 CACHE_CHARS = 64
@@ -74,6 +74,8 @@ class ByteBPE:
         self.older: dict[str, tuple] = {}
         # Only tokens that encode to themselves may be proposed.
         self.proposed = {b: i for b, i in vocab.items() if len(b) == 1 or self._merged(b) == [i]}
+        # Every beginning of a proposed token; -1 where it is none itself.
+        self.begins = {b[:k]: -1 for b in self.proposed for k in range(1, len(b))} | self.proposed
         self.exact = 0  # words merged step by step so far
 
     def _merged(self, word: bytes) -> list[int]:
@@ -113,14 +115,16 @@ class ByteBPE:
         return [t for t, ok in zip(ids, live) if ok]
 
     def _propose(self, word: bytes) -> list[int]:
-        out, i, n, get = [], 0, len(word), self.proposed.get
+        """Greedy longest match: goes on while some token begins so."""
+        out, i, n, get = [], 0, len(word), self.begins.get
         while i < n:
-            for j in range(min(n, i + self.longest), i, -1):
-                t = get(word[i:j])
-                if t is not None:
-                    out.append(t)
-                    i = j
-                    break
+            j = i + 1
+            while j <= n and (t := get(word[i:j])) is not None:
+                if t >= 0:
+                    last, end = t, j
+                j += 1
+            out.append(last)
+            i = end
         return out
 
     def _compatible(self, pairs: np.ndarray) -> np.ndarray:
@@ -159,28 +163,34 @@ class ByteBPE:
             at = m.end()
         return out + self.pattern.findall(text[at:])
 
-    def encode_batch(self, texts: list[str]) -> list[list[tuple]]:
-        """For each text its pieces as (ids, decimal ids joined by commas)."""
+    def _entry(self, word: str, ids: list[int]) -> tuple[int, str, bytes]:
+        ids = [self.added[word]] if word in self.added else ids
+        return len(ids), ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
+
+    def encode_batch(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
+        """For each text its pieces as (number of ids, decimal ids joined by commas, decoded bytes).
+
+        A piece's ids and their decoding are worked out once while a worker
+        remembers the piece.
+        """
         cut = [self.pieces(t) for t in texts]
         if len(self.words) > CACHE_WORDS:
             self.older, self.words = self.words, {}
         known, older, extra = self.words, self.older, {}
         fresh = []
-        for w in {w for ws in cut for w in ws} - known.keys():
+        for w in set().union(*cut) - known.keys():
             if w in older:
                 known[w] = older[w]
             else:
                 fresh.append(w)
         for w, ids in zip(fresh, self.encode_words(fresh)):
-            if w in self.added:
-                ids = [self.added[w]]
-            (known if len(w) <= CACHE_CHARS else extra)[w] = (tuple(ids), ",".join(map(str, ids)))
+            (known if len(w) <= CACHE_CHARS else extra)[w] = self._entry(w, ids)
         if extra:
             return [[known[w] if w in known else extra[w] for w in ws] for ws in cut]
-        return [[known[w] for w in ws] for ws in cut]
+        return [list(map(known.__getitem__, ws)) for ws in cut]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for ids, _ in self.encode_batch([text])[0]))
+        return [int(i) for _, ids, _ in self.encode_batch([text])[0] for i in ids.split(",")]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -207,13 +217,13 @@ def encode_decode(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -> D
         for batch, texts in slices(batches, "text"):
             n, ids_sha, text_sha, ids_all, texts_all = [], [], [], [], []
             for pieces in bpe.encode_batch(texts):
-                ids = list(chain.from_iterable(p[0] for p in pieces))
-                decoded = b"".join(map(bpe.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join([p[1] for p in pieces]).encode()).hexdigest())
+                counts, ids, raw = zip(*pieces) if pieces else ((), (), ())
+                ids, decoded = ",".join(ids), b"".join(raw).decode("utf-8", "replace")
+                n.append(sum(counts))
+                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if keep_ids:
-                    ids_all.append(ids)
+                    ids_all.append(list(map(int, ids.split(","))) if ids else [])
                     texts_all.append(decoded)
             out = {"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
             if keep_ids:

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm import bpe, exact_dedup, interleave, langid, line_dedup, mixing, quality, token_store, warc
+from lattiq.llm import bpe, exact_dedup, interleave, langid, line_dedup, mixing, near_dedup, quality, token_store, warc
 from lattiq.llm.common import Scratch, held_out, table
 
 
@@ -38,6 +38,10 @@ def op3_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), Scratch(spark, "op4"), percent=85)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.learn_profiles(docs))
@@ -68,7 +72,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_deleted", "n_runs", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_mixing, op3_interleaved_media, op5_language_id, op6_warc, op7_bpe, op8_exact_dedup, op9_quality, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_mixing, op3_interleaved_media, op4_near_dedup, op5_language_id, op6_warc, op7_bpe, op8_exact_dedup, op9_quality, op10_line_dedup)}
 
 #: Characters that count as blank, as DuckDB's regular expressions name them.
 _BLANK = r"[\x20\x09-\x0D]"
