@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -43,19 +42,20 @@ class Space:
             v = self.letters[c] = np.random.default_rng(seed).integers(0, 2, DIM).astype(np.float32) * 2 - 1
         return v
 
-    def gram(self, g: str) -> np.ndarray:
-        return np.roll(self.letter(g[0]), 2) * np.roll(self.letter(g[1]), 1) * self.letter(g[2])
+    def gram(self, g: int) -> np.ndarray:
+        a, b, c = chr(g >> 42), chr(g >> 21 & 0x1FFFFF), chr(g & 0x1FFFFF)
+        return np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
 
-    def bundle(self, counts: Counter) -> np.ndarray:
+    def bundle(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The sum of the trigrams' vectors, each weighted by the root of its count."""
         if len(self.at) > CACHE_GRAMS:
             self.at.clear()
             self.table = np.empty((1024, DIM), np.float32)
-        out, weights = np.zeros(DIM, np.float32), np.sqrt(np.fromiter(counts.values(), np.float32, len(counts)))
-        grams, at = list(counts), self.at
+        out, weights = np.zeros(DIM, np.float32), np.sqrt(counts.astype(np.float32))
+        grams, at = grams.tolist(), self.at
         for start in range(0, len(grams), 4096):
-            part, rows = grams[start : start + 4096], []
-            for g in part:
+            rows = []
+            for g in grams[start : start + 4096]:
                 i = at.get(g)
                 if i is None:
                     i = at[g] = len(at)
@@ -67,13 +67,16 @@ class Space:
         return out
 
 
-def trigrams(text: str) -> Counter:
-    """Counts of letter trigrams; words are lower-cased and set apart by one blank."""
+def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct letter trigrams, 21 bits a letter, and their counts.
+
+    Words are lower-cased and set apart by one blank.
+    """
     t = _NOT_LETTER.sub(" ", text.lower()).strip()
     if not t:
-        return Counter()
-    t = f" {t} "
-    return Counter(map("".join, zip(t, t[1:], t[2:])))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    c = np.frombuffer(f" {t} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:], return_counts=True)
 
 
 _SPACE: list[Space] = []
@@ -98,10 +101,10 @@ class Profiles:
         self.own = np.stack([unit(v - self.common) for v in vectors]).astype(np.float32) if langs else np.zeros((0, DIM), np.float32)
 
     def predict(self, text: str) -> tuple[str, float]:
-        counts = trigrams(text)
-        if not counts or not self.langs:
+        grams, counts = trigrams(text)
+        if not len(grams) or not self.langs:
             return "und", 0.0
-        doc = unit(_space().bundle(counts))
+        doc = unit(_space().bundle(grams, counts))
         cosines = self.own @ unit(doc - self.common.astype(np.float32))
         e = np.exp(8 * (cosines - cosines.max()))
         best = int(np.argmax(cosines))
@@ -122,9 +125,10 @@ def learn_profiles(docs: DataFrame, learn: Column | None = None) -> Profiles:
         sums: dict[str, np.ndarray] = {}
         for batch, texts in slices(batches, "text"):
             for lang, text in zip(batch.column(0).to_pylist(), texts):
-                if counts := trigrams(text):
+                grams, counts = trigrams(text)
+                if len(grams):
                     sums.setdefault(lang, np.zeros(DIM))
-                    sums[lang] += unit(_space().bundle(counts))
+                    sums[lang] += unit(_space().bundle(grams, counts))
         for lang, v in sums.items():
             # Whole millionths: sums of them don't depend on the order of tasks.
             yield pa.RecordBatch.from_pydict({"lang": [lang], "v": pa.array([np.rint(v * 1e6).astype(np.int64)], pa.list_(pa.int64()))})

@@ -64,7 +64,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES,
     place = F.struct("doc_id", "tag", "line")
     classes = found.groupBy("level", "name").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last")
     classes = scratch.cut(classes, "classes")
-    later = found.join(classes, ["level", "name"]).filter(F.col("first") < place)
+    later = found.join(classes.hint("merge"), ["level", "name"]).filter(F.col("first") < place)
     reach = later.groupBy("doc_id", "tag", "line").agg(F.max(F.col("line") + F.expr("shiftleft(1, level)")).alias("reach"))
     by_doc = Window.partitionBy("doc_id", "tag").orderBy("line")
     so_far = F.max("reach").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
@@ -89,7 +89,7 @@ def drop_repeated_lines(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_
     """
     docs = check_columns(docs, "doc_id", "text")
     runs = scratch.cut(repeated_runs(docs, scratch, min_lines, min_words).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "runs"), "runs")
-    found = docs.join(runs, docs["doc_id"].eqNullSafe(runs["_id"]) & (F.xxhash64(docs["text"]) == runs["_tag"]), "left")
+    found = docs.join(runs.hint("merge"), docs["doc_id"].eqNullSafe(runs["_id"]) & (F.xxhash64(docs["text"]) == runs["_tag"]), "left")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: (r["line"] <= i) & (i < r["end"])))
     text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
