@@ -219,8 +219,7 @@ class Lowerer:
         if isinstance(node, Param):
             return self.literal(self.analyzer.param(node.name))
         if isinstance(node, Unary):
-            x = self.column(node.x)
-            return ~x if node.op == "NOT" else -x
+            return ~self.truth(node.x) if node.op == "NOT" else -self.column(node.x)
         if isinstance(node, Binary):
             return self.binary(node)
         if isinstance(node, In):
@@ -228,12 +227,17 @@ class Lowerer:
         if isinstance(node, Case):
             out = None
             for test, value in node.whens:
-                out = (F if out is None else out).when(self.column(test), self.column(value))
+                out = (F if out is None else out).when(self.truth(test), self.column(value))
             return out if node.default is None else out.otherwise(self.column(node.default))
         if isinstance(node, Call):
             return self.call(node)
         raise UnsupportedCalc(f"{type(node).__name__} {getattr(node, 'name', '')} can't stand here", "grain")
 
+    def truth(self, node: Node) -> Column:
+        """A condition; a bare NULL is one of unknown truth."""
+        x = self.column(node)
+        return x.cast("boolean") if self.analyzer.info(node).dtype == NULL else x
+
     @staticmethod
     def literal(node: Lit) -> Column:
         if node.dtype == NULL:
@@ -243,12 +247,12 @@ class Lowerer:
         return F.lit(node.value).cast("bigint") if node.dtype == INT else F.lit(node.value)
 
     def binary(self, node: Binary) -> Column:
-        a, b, op = self.column(node.a), self.column(node.b), node.op
+        op = node.op
+        if op in ("AND", "OR"):
+            a, b = self.truth(node.a), self.truth(node.b)
+            return a & b if op == "AND" else a | b
+        a, b = self.column(node.a), self.column(node.b)
         ta, tb = self.analyzer.info(node.a).dtype, self.analyzer.info(node.b).dtype
-        if op == "AND":
-            return a & b
-        if op == "OR":
-            return a | b
         if op == "=":
             return a == b
         if op == "<>":
@@ -288,5 +292,6 @@ class Lowerer:
             a, b = (self.column(x) for x in node.args)
             return F.when(a.isNotNull() & b.isNotNull(), (F.least if node.name == "MIN" else F.greatest)(a, b))
         if node.name in SCALARS:
-            return SCALARS[node.name].column(node.args, [self.column(a) for a in node.args])
+            own = SCALARS[node.name]
+            return own.column(node.args, [self.truth(a) if code == "b" else self.column(a) for code, a in zip(own.params, node.args)])
         raise UnsupportedCalc(f"{node.name} can't stand here", "grain")
