@@ -127,6 +127,13 @@ class Model:
     def tables_of(self, *nodes: Node) -> set[str]:
         return {self.resolve(f)[0].name for n in nodes for f in n.walk() if isinstance(f, Field)}
 
+    def describe(self, spark) -> DataFrame:
+        """What can be asked for: table, caption, column, type; calculations have no table, and parameters neither."""
+        rows = [(t.name, caption, c, t.types[c]) for t in self.tables.values() for caption, c in t.columns.items()]
+        rows += [(None, name, formula, "calculation") for name, formula in self.calcs.items()]
+        rows += [(None, name, str(value), "parameter") for name, value in self.params.items()]
+        return spark.createDataFrame(rows, "table string, caption string, column string, type string")
+
     # -- joins -----------------------------------------------------------
 
     def path(self, child: str, parent: str) -> list[Relationship] | None:

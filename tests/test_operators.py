@@ -232,3 +232,23 @@ def test_materialised_tables(spark, tmp_path):
     materialise(m, {"twice": "[n] * 2"}, "lattiq_test_enriched")
     assert rows(spark.table("lattiq_test_enriched")) == sorted([(1, 2), (None, None)], key=repr)
     spark.sql("DROP TABLE lattiq_test_enriched")
+
+
+def test_excel(spark, tmp_path):
+    import zipfile
+
+    from lattiq.sources.excel import read_excel
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="One" sheetId="1" r:id="r1"/><sheet name="Two" sheetId="2" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/s1.xml"/><Relationship Id="r2" Target="/xl/worksheets/s2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>Item</t></si><si><r><t>a</t></r><r><t>b</t></r></si></sst>')
+        z.writestr("xl/worksheets/s1.xml", f'<worksheet xmlns="{main}"><sheetData/></worksheet>')
+        z.writestr(
+            "xl/worksheets/s2.xml",
+            f'<worksheet xmlns="{main}"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>Qty</t></is></c><c r="D1" t="str"><v>When</v></c></row>'
+            '<row><c r="A2" t="s"><v>1</v></c><c r="C2"><v>3</v></c><c r="D2"><v>45292.5</v></c></row><row/><row><c r="C4" t="str"><v>x</v></c></row></sheetData></worksheet>',
+        )
+    got = read_excel(spark, str(tmp_path), {"item": "string", "Qty": "integer", "When": "date"}, "Two")
+    assert rows(got) == sorted([("ab", 3, date(2024, 1, 1)), (None, None, None)], key=repr)
