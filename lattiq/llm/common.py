@@ -7,13 +7,18 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of a slice of documents that a Python worker holds at a time.
+#: Bytes of text of a slice of documents that a Python worker holds at a time.
 SLICE_CHARS = 1_000_000
 
+#: Bytes of an Arrow batch on its way to or from a Python worker; a single longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+
 HOLD_OUT = 3
 
 
@@ -81,20 +86,28 @@ def held_out(doc_id: Column) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of batches of about SLICE_CHARS characters, with their texts (null: empty)."""
+    """Parts of batches of about SLICE_CHARS bytes of text, with their texts (null: empty).
+
+    Only a part's texts become Python strings at a time.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
-        texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-        start = held = 0
-        for i, t in enumerate(texts):
-            held += len(t)
-            if held >= SLICE_CHARS or i + 1 == len(texts):
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, held = i + 1, 0
+        column = batch.column(batch.schema.get_field_index(text))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            so_far = int(ends[start - 1]) if start else 0
+            n = max(1, int(np.searchsorted(ends, so_far + SLICE_CHARS, side="right")) - start)
+            part = batch.slice(start, n)
+            yield part, [t or "" for t in column.slice(start, n).to_pylist()]
+            start += n
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` in batches of bounded bytes: rows alone bound nothing where texts are long."""
+    for key in ("maxBytesPerBatch", "maxBytesPerOutputBatch"):
+        df.sparkSession.conf.set(f"spark.sql.execution.arrow.{key}", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 

@@ -184,4 +184,4 @@ def keep_good(docs: DataFrame, model: FactorisationMachine, at_least: float = 0.
         for batch, texts in slices(batches, "text"):
             yield batch.filter(pa.array([fm.score(t) >= at_least for t in texts]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
