@@ -141,6 +141,15 @@ def fingerprint(sha256: Column) -> Column:
 
 
 def drop_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` without the rows that exact_dedup doesn't keep; one of fully repeated rows stays."""
-    gone = exact_dedup(docs, scratch).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(scratch.cut(gone, "gone"), docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    """``docs``, all columns, without the rows that exact_dedup doesn't keep; one of fully repeated rows stays."""
+    found = scratch.cut(exact_dedup(docs, scratch), "found")
+    digest = F.sha2(F.encode(normalised(docs["text"]), "UTF-8"), 256)
+    keys = lambda df, name: scratch.cut(df.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), name)
+    is_in = lambda k: docs["doc_id"].eqNullSafe(k["_id"]) & (digest == k["_sha"])
+    gone = keys(found.filter(~F.col("kept")), "gone")
+    again = keys(found.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "again")
+    out = docs.join(gone, is_in(gone), "left_anti")
+    if again.isEmpty():
+        return out
+    once = docs.join(again, is_in(again), "left_semi").withColumn("_sha", digest).dropDuplicates(["doc_id", "_sha"])
+    return out.join(again, is_in(again), "left_anti").unionByName(once.select(*docs.columns))
