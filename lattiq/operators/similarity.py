@@ -19,6 +19,7 @@ from pyspark.sql.types import DoubleType
 from lattiq.checkpoints import cut
 from lattiq.operators.components import connected_components
 from lattiq.operators.reconcile import GENERIC
+from lattiq.session import importable
 
 # Weights, bands, word lists and thresholds of the matching rules.
 WEIGHTS = {"name": 0.20, "column": 0.35, "type": 0.15, "source": 0.30}
@@ -160,6 +161,7 @@ def score(pairs: DataFrame, weights: dict[str, float] | None = None) -> DataFram
     weight to the others.
     """
     weights = weights or WEIGHTS
+    importable(pairs.sparkSession)
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     ratio = F.when((a("token") != "") & (b("token") != "") & (a("token") != b("token")), character_ratio(a("token"), b("token"))).otherwise(F.lit(0.0)) if weights["name"] else F.lit(0.0)
     pairs = pairs.withColumn("_ratio", ratio).withColumn("_shared", F.array_intersect(a("keys"), b("keys")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -23,3 +26,15 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import this package, wherever the driver was started.
+
+    On a cluster the package is shipped like any other; a path that an
+    executor lacks does no harm.
+    """
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattiq.errors import UnsupportedCalc
+from lattiq.session import importable
 from lattiq.sources.readers import match_headers, spark_schema
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -105,6 +106,7 @@ def read_excel(spark: SparkSession, path: str, columns: Mapping[str, str], sheet
     def _batch(held):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], pa.string()) for i in range(len(names))], [f"c{i}" for i in range(len(names))])
 
+    importable(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("content")
     found = files.mapInArrow(run, ", ".join(f"c{i} string" for i in range(len(names))))
     return found.select(*[(F.try_to_timestamp(f"c{i}").cast(f.dataType) if d in ("date", "datetime") else F.col(f"c{i}").try_cast(f.dataType)).alias(f.name) for i, (f, d) in enumerate(zip(spark_schema(columns), dtypes))])
