@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattiq.session import importable
+
 #: Bytes of text of a slice of documents that a Python worker holds at a time.
 SLICE_CHARS = 1_000_000
 
@@ -106,6 +108,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Re
 
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``df.mapInArrow`` in batches of bounded bytes: rows alone bound nothing where texts are long."""
+    importable(df.sparkSession)
     for key in ("maxBytesPerBatch", "maxBytesPerOutputBatch"):
         df.sparkSession.conf.set(f"spark.sql.execution.arrow.{key}", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
