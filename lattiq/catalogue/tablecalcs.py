@@ -115,3 +115,9 @@ view(
     _MARKS + f"SELECT year, Priority, r FROM (SELECT *, rank() OVER ({_P} ORDER BY x DESC) AS r FROM m) WHERE r <= 2",
     [{"filterType": "CONDITION", "field": {"calculation": "RANK(SUM([Total])) <= 2"}}],
 )
+_tc(
+    "tc_previous_value",
+    {"smooth": "SUM([Total]) / 1000 + 0.5 * PREVIOUS_VALUE(0)", "path": "PREVIOUS_VALUE('') + CHAR(64 + INDEX())"},
+    f"round(list_reduce(list_prepend(0, list(x / 1000) OVER ({_PO} ROWS UNBOUNDED PRECEDING)), lambda a, b: b + 0.5 * a), 4) AS smooth, substr('ABCDEFGHIJ', 1, CAST(row_number() OVER ({_PO}) AS INT)) AS path",
+    {"smooth": 4},
+)

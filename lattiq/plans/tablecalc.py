@@ -16,11 +16,12 @@ from lattiq.errors import UnsupportedCalc
 from lattiq.functions.scalar import divide
 from lattiq.plans.analysis import TABLE, TABLE_CALCS, Analyzer, Lowerer
 from lattiq.plans.grain import fresh
-from lattiq.plans.nodes import INT, Binary, Call, Case, Lit, Node, Slot
+from lattiq.plans.nodes import BOOL, DATE, DATETIME, INT, NULL, REAL, TEXT, Binary, Call, Case, Lit, Node, Param, Slot
 
 _START, _END = Window.unboundedPreceding, Window.unboundedFollowing
 _PLAIN = {"SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max, "COUNT": F.count, "STDEV": F.stddev_samp, "STDEVP": F.stddev_pop, "VAR": F.var_samp, "VARP": F.var_pop}
 _WHOLE_ONLY = {"MEDIAN": lambda x: F.median(x.cast("double"))}
+SPARK_NAMES = {INT: "bigint", REAL: "double", TEXT: "string", BOOL: "boolean", DATE: "date", DATETIME: "timestamp", NULL: "void"}
 _PAIRED = {"CORR": F.corr, "COVAR": F.covar_samp, "COVARP": F.covar_pop}
 
 
@@ -43,6 +44,10 @@ class Addressing:
         return self.window().orderBy(*self.keys())
 
 
+def _is_previous(node: Node) -> bool:
+    return isinstance(node, Call) and node.name == "PREVIOUS_VALUE"
+
+
 def bound(node: Node) -> int:
     """A whole number, or FIRST() or LAST() for an end of the partition."""
     if isinstance(node, Lit) and node.dtype == INT:
@@ -62,6 +67,45 @@ class TableCalcs:
     def lower(self, node: Node) -> Column:
         return Lowerer(self.analyzer, lambda n: F.col(f"`{n.column}`") if isinstance(n, Slot) else None).column(node)
 
+    def value(self, node: Node, at: Addressing) -> Node:
+        """A whole calculation, which may refer to its own previous result."""
+        if any(_is_previous(n) for n in node.walk()):
+            return self.folded(node, at)
+        return self.add(node, at)
+
+    def folded(self, node: Node, at: Addressing) -> Slot:
+        """An expression with PREVIOUS_VALUE: folded over the marks up to each one (an extension).
+
+        The list of marks before each mark is squared in the length of a
+        partition, which is that of an axis.
+        """
+        starts = {n.args[0] for n in node.walk() if _is_previous(n)}
+        if len(starts) > 1 or any(not isinstance(s, (Lit, Param)) for s in starts):
+            raise UnsupportedCalc("PREVIOUS_VALUE needs one constant to begin with", "table calc")
+
+        def rest(n: Node) -> Node:
+            if _is_previous(n):
+                return n
+            if isinstance(n, Call) and n.name in TABLE_CALCS:
+                if any(_is_previous(x) for x in n.walk()):
+                    raise UnsupportedCalc(f"{n.name} of PREVIOUS_VALUE", "table calc")
+                return self.add(n, at)
+            return n.rebuild(rest)
+
+        node = rest(node)
+        dtype = self.analyzer.info(node).dtype
+        kind = SPARK_NAMES[dtype]
+        inputs = sorted({n.column for n in node.walk() if isinstance(n, Slot)})
+        marks = F.collect_list(F.struct(*[F.col(f"`{c}`").alias(c) for c in inputs], F.lit(1).alias("_one"))).over(at.ordered().rowsBetween(_START, 0))
+
+        def step(so_far: Column, mark: Column) -> Column:
+            leaf = lambda n: mark[n.column] if isinstance(n, Slot) else so_far if _is_previous(n) else None
+            return Lowerer(self.analyzer, leaf).column(node).cast(kind)
+
+        found, out = fresh("marks"), fresh("calc")
+        self.marks = self.marks.withColumn(found, marks).withColumn(out, F.aggregate(F.col(found), self.lower(next(iter(starts))).cast(kind), step)).drop(found)
+        return Slot(out, dtype, TABLE)
+
     def add(self, node: Node, at: Addressing) -> Node:
         if not (isinstance(node, Call) and node.name in TABLE_CALCS):
             return node.rebuild(lambda n: self.add(n, at))
@@ -101,8 +145,6 @@ class TableCalcs:
             if k in (_START, _END):
                 return (F.first if k == _START else F.last)(x).over(at.ordered().rowsBetween(_START, _END))
             return F.lag(x, -k).over(at.ordered()) if k < 0 else F.lead(x, k).over(at.ordered()) if k else x
-        if name == "PREVIOUS_VALUE":
-            raise UnsupportedCalc("PREVIOUS_VALUE refers to its own result", "table calc")
         if name.startswith("RANK"):
             return self.rank(name, x, args, at, size)
         family, _, what = name.partition("_")

@@ -157,8 +157,8 @@ class _Planner:
 
         at = [Addressing(f.partition_by, f.order_by) for f, _ in values] + [Addressing() for _ in after + late]
         calcs = TableCalcs(marks, self.analyzer, lambda m, n, a: self.total(m, n, a, dims, plain, tops))
-        done = [(f, calcs.add(slots[n], a)) for (f, n), a in zip(values, at)]
-        late_done = [(f, calcs.add(slots[n], at[0])) for f, n in late] if late else []
+        done = [(f, calcs.value(slots[n], a)) for (f, n), a in zip(values, at)]
+        late_done = [(f, calcs.value(slots[n], at[0])) for f, n in late] if late else []
         out = calcs.marks
         for f, n in late_done:
             out = out.filter(condition(f, lower(n), self.analyzer.info(n).dtype, self.model.anchor))

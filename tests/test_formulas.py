@@ -119,6 +119,7 @@ REFUSED = [
     ("RUNNING_SUM([n])", "grain"),
     ("TOTAL(RUNNING_SUM(SUM([n])))", "table calc"),
     ("WINDOW_SUM(SUM([n]), -1)", "table calc"),
+    ("WINDOW_SUM(SUM([n]), 'x', 1, 2)", "table calc"),
     ("[Parameters].[Q]", "parameter"),
     ("[loop]", "cycle"),
     ("[arr]", "type"),

@@ -99,6 +99,8 @@ def test_parameters_override(model):
         ["State", ("x", "SUM([Sales]) + [Sales]")],
         ["State", ("x", "RUNNING_SUM(SUM([Sales]))")],
         ["State", ("x", "WINDOW_MEDIAN(SUM([Sales]), -1, 0)", {"orderBy": ["State"]})],
+        ["State", ("x", "RUNNING_SUM(PREVIOUS_VALUE(1))", {"orderBy": ["State"]})],
+        ["State", ("x", "PREVIOUS_VALUE(SUM([Sales]))", {"orderBy": ["State"]})],
         ["State", ("State", "SUM([Sales])")],
         ["State", ("x", "TOTAL(SUM([Sales]))", {"partitionBy": ["Category"]})],
         [("x", "{FIXED [State] : AVG({FIXED [Category] : SUM([Sales])})}"), "Category"],
