@@ -51,45 +51,52 @@ class Rows:
     def column(self, node: Node) -> Column:
         return Lowerer(self.analyzer, self.leaf).column(node)
 
-    def with_fixed(self, node: Node) -> tuple[Rows, Node]:
-        """The tree with its FIXED expressions as columns of the rows."""
-        rows = self
-
-        def change(n: Node) -> Node:
-            nonlocal rows
-            if not isinstance(n, Lod):
-                return n.rebuild(change)
-            if n.kind != "FIXED":
-                raise UnsupportedCalc(f"{n.kind} in a row-level calculation", "lod")
-            value = fresh("lod")
-            keys = [(fresh("key"), d) for d in n.dims]
+    def with_fixed(self, *nodes: Node) -> tuple[Rows, list[Node]]:
+        """The trees with their FIXED expressions as columns of the rows.
+
+        Expressions of the same dimensions come from one group-by and one join.
+        """
+        rows, done = self, {}
+        groups: dict[tuple[Node, ...], list[Lod]] = {}
+        for lod in dict.fromkeys(x for n in nodes for x in outermost(n)):
+            if lod.kind != "FIXED":
+                raise UnsupportedCalc(f"{lod.kind} in a row-level calculation", "lod")
+            groups.setdefault(lod.dims, []).append(lod)
+        for dims, lods in groups.items():
+            keys = [(fresh("key"), d) for d in dims]
             group = Grain(Rows(self.model, self.analyzer, self.context), keys)
-            body = group.add(n.body)
-            right = group.frame().select(*[k for k, _ in keys], group.column(body).alias(value))
-            dims = []
-            for _, d in keys:
-                rows, d = rows.with_fixed(d)
-                dims.append((fresh("dim"), d))
-            left = rows.df.withColumns({c: rows.column(d) for c, d in dims})
-            joined = null_safe_join(left, right, [(c, k) for (c, _), (k, _) in zip(dims, keys)]).drop(*[c for c, _ in dims])
+            values = [(fresh("lod"), group.add(lod.body)) for lod in lods]
+            right = group.frame().select(*[k for k, _ in keys], *[group.column(body).alias(v) for v, body in values])
+            rows, trees = rows.with_fixed(*dims)
+            own = [(fresh("dim"), d) for d in trees]
+            left = rows.df.withColumns({c: rows.column(d) for c, d in own})
+            joined = null_safe_join(left, right, [(c, k) for (c, _), (k, _) in zip(own, keys)]).drop(*[c for c, _ in own])
             rows = Rows(self.model, self.analyzer, rows.context, joined)
-            return Slot(value, self.analyzer.info(n).dtype, ROW)
+            done |= {lod: Slot(v, self.analyzer.info(lod).dtype, ROW) for lod, (v, _) in zip(lods, values)}
+
+        def change(n: Node) -> Node:
+            return done[n] if n in done else n.rebuild(change)
 
-        node = change(node) if any(isinstance(n, Lod) for n in node.walk()) else node
-        return rows, node
+        return rows, [change(n) for n in nodes] if done else list(nodes)
+
+
+def outermost(node: Node) -> list[Lod]:
+    """The LOD expressions of a tree that are in no other one."""
+    return [node] if isinstance(node, Lod) else [x for c in node.children() for x in outermost(c)]
 
 
 class Grain:
-    """Rows grouped by dimensions (name and tree); ``add`` gives trees over the grouped columns."""
+    """Rows grouped by dimensions (name and tree); ``add`` gives trees over the grouped columns.
+
+    LOD expressions of one kind and the same dimensions share a group-by.
+    """
 
     def __init__(self, rows: Rows, dims: list[tuple[str, Node]]):
-        self.rows, self.analyzer, self.dims = rows, rows.analyzer, dims
-        self.row_dims = []
-        for name, d in dims:
-            self.rows, d = self.rows.with_fixed(d)
-            self.row_dims.append((name, d))
+        self.analyzer, self.dims = rows.analyzer, dims
+        self.rows, trees = rows.with_fixed(*[d for _, d in dims])
+        self.row_dims = [(n, d) for (n, _), d in zip(dims, trees)]
         self.aggs: dict[Node, tuple[str, Column]] = {}
-        self.beside: list[tuple[DataFrame, list[tuple[str, str]]]] = []
+        self.inner: dict[tuple, Inner] = {}
 
     def add(self, node: Node) -> Node:
         if isinstance(node, Call) and node.name in AGGREGATES and self.analyzer.info(node).level == AGG and not (node.name in ("MIN", "MAX") and len(node.args) == 2):
@@ -101,42 +108,42 @@ class Grain:
 
     def plain(self, node: Call) -> Slot:
         if node not in self.aggs:
-            self.rows, tree = self.rows.with_fixed(node)
-            column = aggregate(node.name, tree.args, [self.rows.column(a) for a in tree.args], [self.analyzer.info(a).dtype for a in node.args])
+            self.rows, args = self.rows.with_fixed(*node.args)
+            column = aggregate(node.name, args, [self.rows.column(a) for a in args], [self.analyzer.info(a).dtype for a in node.args])
             self.aggs[node] = (fresh("agg"), column)
         return Slot(self.aggs[node][0], self.analyzer.info(node).dtype, AGG)
 
+    def beside(self, kind: str, shared: list[tuple[str, Node]], more: tuple[Node, ...], outer: bool) -> Inner:
+        """The group-by of LOD expressions over the dimensions ``shared`` with this grain and ``more`` ones."""
+        at = (kind, tuple(d for _, d in shared), more, outer)
+        if at not in self.inner:
+            rows = Rows(self.rows.model, self.analyzer, self.rows.context, self.rows.context if kind == "FIXED" else self.rows.df)
+            keys = [(n, fresh("key")) for n, _ in shared]
+            grain = Grain(rows, [(k, d) for (_, k), (_, d) in zip(keys, shared)] + [(fresh("key"), d) for d in more])
+            self.inner[at] = Inner(grain, keys, outer)
+        return self.inner[at]
+
     def reaggregated(self, node: Call, lod: Lod) -> Slot:
         """OUTER({FIXED or INCLUDE dims : inner}): over the distinct grain, not over rows."""
         if node.name not in REAGGREGATES or len(node.args) > 1 and node.name != "PERCENTILE":
             raise UnsupportedCalc(f"{node.name} over a LOD expression", "lod")
         if lod.kind == "EXCLUDE" or not lod.dims:
             raise UnsupportedCalc(f"{node.name} over {'an EXCLUDE' if lod.dims else 'a table-scoped'} expression", "lod")
-        rows = Rows(self.rows.model, self.analyzer, self.rows.context, self.rows.context if lod.kind == "FIXED" else self.rows.df)
-        own = [(fresh("key"), d) for _, d in self.dims]
-        more = [(fresh("key"), d) for d in lod.dims if d not in {x for _, x in self.dims}]
-        inner, value, out = Grain(rows, own + more), fresh("in"), fresh("lod")
-        body = inner.add(lod.body)
-        grain = inner.frame().select(*[k for k, _ in own + more], inner.column(body).alias(value))
-        args = [F.col(value), *[self.rows.column(a) for a in node.args[1:]]]
-        outer = aggregate(node.name, node.args, args, [self.analyzer.info(a).dtype for a in node.args])
-        self.beside.append((grain.groupBy(*[k for k, _ in own]).agg(outer.alias(out)), [(n, k) for (n, _), (k, _) in zip(self.dims, own)]))
+        own = {d for _, d in self.dims}
+        inner = self.beside(lod.kind, self.dims, tuple(d for d in dict.fromkeys(lod.dims) if d not in own), True)
+        args = [F.col(inner.value(lod.body)), *[self.rows.column(a) for a in node.args[1:]]]
+        out = fresh("lod")
+        inner.outer[out] = aggregate(node.name, node.args, args, [self.analyzer.info(a).dtype for a in node.args])
         return Slot(out, self.analyzer.info(node).dtype, AGG)
 
     def bare(self, lod: Lod) -> Slot:
         """A LOD expression as a value of this grain."""
-        at = {d: n for n, d in self.dims}
         if lod.kind == "INCLUDE":
             raise UnsupportedCalc("INCLUDE without an outer aggregate", "lod")
-        if lod.kind == "FIXED" and not set(lod.dims) <= set(at):
+        if lod.kind == "FIXED" and not set(lod.dims) <= {d for _, d in self.dims}:
             raise UnsupportedCalc("a FIXED expression of other dimensions without an outer aggregate", "lod")
-        dims = list(dict.fromkeys(lod.dims)) if lod.kind == "FIXED" else [d for _, d in self.dims if d not in lod.dims]
-        rows = Rows(self.rows.model, self.analyzer, self.rows.context, self.rows.context if lod.kind == "FIXED" else self.rows.df)
-        keys, value = [(fresh("key"), d) for d in dims], fresh("lod")
-        inner = Grain(rows, keys)
-        body = inner.add(lod.body)
-        frame = inner.frame().select(*[k for k, _ in keys], inner.column(body).alias(value))
-        self.beside.append((frame, [(at[d], k) for k, d in keys]))
+        shared = [(n, d) for n, d in self.dims if (d in lod.dims) == (lod.kind == "FIXED")]
+        value = self.beside(lod.kind, shared, (), False).value(lod.body)
         return Slot(value, self.analyzer.info(lod).dtype, AGG)
 
     def frame(self) -> DataFrame:
@@ -150,11 +157,30 @@ class Grain:
             out = rows.select(*dims).distinct()
         else:
             out = rows.groupBy().agg(F.count(F.lit(1)).alias(fresh("rows")))
-        for right, keys in self.beside:
-            out = null_safe_join(out, right, keys)
+        for inner in self.inner.values():
+            out = null_safe_join(out, inner.frame(), inner.keys)
         return out
 
     def column(self, node: Node) -> Column:
         if self.analyzer.info(node).level not in (AGG, CONST, LOD):
             raise UnsupportedCalc("a bare field among aggregates", "grain")
         return Lowerer(self.analyzer, lambda n: F.col(f"`{n.column}`") if isinstance(n, Slot) else None).column(node)
+
+
+class Inner:
+    """A grain beside another: its values, aggregated again where ``again`` is set, by the keys that both share."""
+
+    def __init__(self, grain: Grain, keys: list[tuple[str, str]], again: bool):
+        self.grain, self.keys, self.again = grain, keys, again
+        self.values: dict[Node, tuple[str, Node]] = {}
+        self.outer: dict[str, Column] = {}
+
+    def value(self, body: Node) -> str:
+        if body not in self.values:
+            self.values[body] = (fresh("lod"), self.grain.add(body))
+        return self.values[body][0]
+
+    def frame(self) -> DataFrame:
+        own = [k for _, k in self.keys]
+        out = self.grain.frame().select(*(n for n, _ in self.grain.dims), *[self.grain.column(t).alias(v) for v, t in self.values.values()])
+        return out.groupBy(*own).agg(*[c.alias(n) for n, c in self.outer.items()]) if self.again else out

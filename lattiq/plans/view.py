@@ -107,7 +107,7 @@ class _Planner:
         rows = Rows(self.model, self.analyzer, frame)
         for f, node in plain:
             if not f.context:
-                rows, node = rows.with_fixed(node)
+                rows, (node,) = rows.with_fixed(node)
                 rows = Rows(self.model, self.analyzer, rows.context, rows.df.filter(self.condition(f, rows, node)))
         for f, dim, by in tops:
             rows = Rows(self.model, self.analyzer, rows.context, self.top(rows, f, dim, by))
@@ -156,6 +156,7 @@ class _Planner:
             marks = marks.filter(condition(f, lower(n), self.analyzer.info(n).dtype, self.model.anchor))
 
         at = [Addressing(f.partition_by, f.order_by) for f, _ in values] + [Addressing() for _ in after + late]
+        self.plan_totals([(slots[n], a) for (_, n), a in zip(values, at)] + [(slots[n], at[0]) for _, n in late])
         calcs = TableCalcs(marks, self.analyzer, lambda m, n, a: self.total(m, n, a, dims, plain, tops))
         done = [(f, calcs.value(slots[n], a)) for (f, n), a in zip(values, at)]
         late_done = [(f, calcs.value(slots[n], at[0])) for f, n in late] if late else []
@@ -233,6 +234,9 @@ class _Planner:
         place = lambda n: where[n] if n in where else n.rebuild(place)
         return reduce(both, frames[1:], frames[0][0]), {v: place(v) for v in values}
 
+    def plan_totals(self, trees: list[tuple[Node, Addressing]]) -> None:
+        pass
+
     def total(self, marks: DataFrame, node: Node, at: Addressing, dims, plain, tops) -> tuple[DataFrame, Node]:
         raise UnsupportedCalc("TOTAL was not planned", "table calc")
 
@@ -255,17 +259,32 @@ class _WithTotals(_Planner):
         frame, slots = super().marks(dims, bare, plain, tops)
         return frame, {v: slots[b] for v, b in zip(values, bare)}
 
+    def plan_totals(self, trees):
+        """Which totals are wanted at which partition; those of one partition are aggregated together."""
+        self.wanted: dict[frozenset[str], list[str]] = {}
+        self.found: dict[tuple[frozenset[str], str], Slot] = {}
+        for tree, at in trees:
+            for n in tree.walk():
+                if isinstance(n, Call) and n.name == "TOTAL":
+                    names = self.wanted.setdefault(frozenset(at.partition), [])
+                    if n.args[0].column not in names:
+                        names.append(n.args[0].column)
+
     def total(self, marks, node, at, dims, plain, tops):
-        tree = self.totals[int(node.column.removeprefix("_total"))].args[0]
-        chosen = [(f, n) for f, n in dims if f.name in at.partition]
-        if len(chosen) < len(at.partition):
+        part = frozenset(at.partition)
+        if (part, node.column) in self.found:
+            return marks, self.found[part, node.column]
+        chosen = [(f, n) for f, n in dims if f.name in part]
+        if len(chosen) < len(part):
             raise UnsupportedCalc("TOTAL restarts at dimensions of the view only", "table calc")
-        right, out = _Planner.marks(self, chosen, [tree], plain, tops)
-        value = fresh("total")
+        trees = [self.totals[int(c.removeprefix("_total"))].args[0] for c in self.wanted[part]]
+        right, out = _Planner.marks(self, chosen, trees, plain, tops)
         keys = [(f.name, fresh("key")) for f, _ in chosen]
-        lower = Lowerer(self.analyzer, lambda m: F.col(f"`{m.column}`") if isinstance(m, Slot) else None).column(out[tree])
-        right = right.select(*[F.col(f"`{a}`").alias(b) for a, b in keys], lower.alias(value))
-        return null_safe_join(marks, right, keys), Slot(value, self.analyzer.info(tree).dtype, TABLE)
+        lower = Lowerer(self.analyzer, lambda m: F.col(f"`{m.column}`") if isinstance(m, Slot) else None)
+        values = [(fresh("total"), t) for t in trees]
+        right = right.select(*[F.col(f"`{a}`").alias(b) for a, b in keys], *[lower.column(out[t]).alias(v) for v, t in values])
+        self.found |= {(part, c): Slot(v, self.analyzer.info(t).dtype, TABLE) for c, (v, t) in zip(self.wanted[part], values)}
+        return null_safe_join(marks, right, keys), self.found[part, node.column]
 
 
 def run_view(model: Model, query: ViewQuery | dict) -> DataFrame:
@@ -293,10 +312,8 @@ def with_calcs(model: Model, formulas: dict[str, str]) -> DataFrame:
     if home is None:
         raise UnsupportedCalc("which table's rows?", "cross table")
     rows = Rows(model, analyzer, model.frame(home, tables | {home}))
-    columns = {}
-    for name, t in trees.items():
-        rows, t = rows.with_fixed(t)
-        columns[name] = rows.column(t)
+    rows, lowered = rows.with_fixed(*trees.values())
+    columns = {name: rows.column(t) for name, t in zip(trees, lowered)}
     own = model.tables[home]
     kept = [F.col(f"`{own.qualified(f.name)}`").cast(f.dataType).alias(f.name) for f in own.df.schema]
     return rows.df.select(*kept, *[c.alias(n) for n, c in columns.items()])
