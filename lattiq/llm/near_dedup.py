@@ -1,12 +1,14 @@
 """Near-duplicate detection with HyperMinHash sketches.
 
-A document's set of word shingles is sketched in K registers.  Register b
-keeps the least of the shingles' values under hash b, compressed to 16 bits:
-the count of its leading zeros (6 bits) and the 10 bits after its first one.
-Bands of four registers are one 64-bit key each; documents with a key in
-common are candidates.  The share of equal registers, corrected for registers
-that agree by chance, estimates the Jaccard similarity, and what could still
-reach the threshold is verified on full sets.
+A document's set of word shingles is sketched twice, each bucket keeping the
+least of its hash values as a count of leading zeros and some bits after its
+first one.  K buckets with a hash of their own (6 and 10 bits) make bands of
+four registers, one 64-bit key each; documents with a key in common are
+candidates.  One hash that deals the set to FINE buckets (4 and 4 bits)
+estimates the Jaccard similarity: the share of equal buckets, corrected for
+buckets that agree by chance.  A set that is not much larger than FINE is
+nearly told in full by it, so few pairs below the threshold get through, and
+what could still reach it is verified on full sets.
 
 No group of candidates is ever expanded into pairs to be linked.  Documents
 with the same set are one node.  In each bucket the node that shares most
@@ -14,6 +16,8 @@ buckets is the hub, all others are compared with it, and confirmed links make
 components.  What is left are pairs of different components that share a
 bucket; buckets where there are any are cut into blocks, and pairs of blocks
 compare their sketches and give only pairs that may be similar.
+
+Joins of sides that grow with the data are merge joins at every size.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,18 +35,20 @@ from lattiq.llm.common import Scratch, check_columns, map_arrow, slices
 
 WORDS = 5
 K, ROWS = 128, 4
+FINE = 512
 #: Nodes in a block of a bucket.
 BLOCK = 256
-#: Chance that registers of disjoint sets of like sizes agree: equal zero counts times equal mantissas.
-CHANCE = 0.4 / 1024
+#: Chance that fine buckets of disjoint sets agree: equal zero counts (a third) times equal mantissas.
+CHANCE = 1 / 48
 #: Standard errors below the threshold at which an estimate rules a pair out.
 MARGIN = 6
+#: Words whose hashes a worker remembers.
+CACHE_WORDS = 150_000
 
 _RNG = np.random.default_rng(20240229)
 _FACTORS = _RNG.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BANDS = _RNG.integers(0, 1 << 63, K // ROWS, dtype=np.uint64)
-_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_EQUAL = np.array([(x & 15 == 0) + (x >> 4 == 0) for x in range(256)], np.uint8)
+_BASE, _MIX, _DEAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class _Words(dict):
@@ -53,14 +60,15 @@ class _Words(dict):
 _WORDS = _Words()
 
 
-def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
+def shingles(text: str | bytes | None, size: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles; see near_dedup for what those are."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both for ASCII alone
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    words = raw.lower().split()  # both for ASCII alone
     if not words:
         return np.zeros(0, np.uint64)
     if len(words) < size:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)], np.uint64)
-    if len(_WORDS) > 300_000:
+    if len(_WORDS) > CACHE_WORDS:
         _WORDS.clear()
     w = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     n = len(w) - size + 1
@@ -74,17 +82,37 @@ def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
     return np.unique(h)
 
 
+def _leading_zeros(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of leading zeros up to ``most``, and the values shifted left by those."""
+    zeros, x = np.zeros(len(x), np.uint64), x.copy()
+    for step in (32, 16, 8, 4, 2, 1):
+        short = (x >> np.uint64(64 - step)) == 0
+        zeros[short] += np.uint64(step)
+        x[short] <<= np.uint64(step)
+    return np.minimum(zeros, np.uint64(most)), x
+
+
 def registers(items: np.ndarray) -> np.ndarray:
     """The K registers of a non-empty set."""
     low = np.full(K, np.iinfo(np.uint64).max)
     for at in range(0, len(items), 1024):
         np.minimum(low, np.multiply.outer(_FACTORS, items[at : at + 1024]).min(1), out=low)
-    zeros, x = np.zeros(K, np.uint64), low.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        short = (x >> np.uint64(64 - step)) == 0
-        zeros[short] += np.uint64(step)
-        x[short] <<= np.uint64(step)
-    return ((np.minimum(zeros, 63) << np.uint64(10)) | ((x >> np.uint64(53)) & np.uint64(1023))).astype(np.uint16)
+    zeros, x = _leading_zeros(low, 63)
+    return ((zeros << np.uint64(10)) | ((x >> np.uint64(53)) & np.uint64(1023))).astype(np.uint16)
+
+
+def fine_sketch(items: np.ndarray) -> np.ndarray:
+    """A byte for each of FINE buckets, 0 for an empty one, else 16 (1 + zeros) + mantissa."""
+    h = items * _DEAL
+    h ^= h >> np.uint64(29)
+    bucket, value = h >> np.uint64(55), h << np.uint64(9)
+    order = np.lexsort((value, bucket))
+    bucket, value = bucket[order], value[order]
+    first = np.r_[True, bucket[1:] != bucket[:-1]] if len(bucket) else np.zeros(0, bool)
+    zeros, x = _leading_zeros(value[first], 14)
+    out = np.zeros(FINE, np.uint8)
+    out[bucket[first].astype(np.int64)] = ((zeros + np.uint64(1)) << np.uint64(4)) | ((x >> np.uint64(59)) & np.uint64(15))
+    return out
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
@@ -94,19 +122,25 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(31))).view(np.int64)
 
 
-def estimate(equal: np.ndarray | float) -> np.ndarray | float:
-    """Jaccard similarity from the share of equal registers, corrected for agreement by chance."""
-    return np.maximum(0.0, (equal - CHANCE) / (1 - CHANCE))
-
+def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard similarities of fine sketches (last axis), corrected for agreement by chance."""
+    union = np.maximum(((a | b) != 0).sum(-1), 1)
+    return np.maximum(0.0, (((a == b) & (a != 0)).sum(-1) / union - CHANCE) / (1 - CHANCE))
 
-def least_estimate(threshold: float) -> float:
-    return threshold - MARGIN * float(np.sqrt(threshold * (1 - threshold) / K))
 
+def may_reach(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether similarities could be ``percent`` or more, by fine sketches and set sizes.
 
-def _nibbles(regs: np.ndarray) -> bytes:
-    """Four mixed bits of each register, for comparing within blocks."""
-    x = (regs.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(28)
-    return (x[0::2] | x[1::2] << np.uint32(4)).astype(np.uint8).tobytes()
+    Of N shingles in a union, those that stand for its U buckets are drawn
+    without replacement, so the count of equal buckets varies by
+    U t (1 - t) (N - U) / (N - 1), and by chance agreement beside that.
+    """
+    t = percent / 100
+    equal, union = ((a == b) & (a != 0)).sum(-1), ((a | b) != 0).sum(-1)
+    whole = np.maximum((n_a + n_b) / (1 + t), union)
+    spread = np.sqrt(union * t * (1 - t) * (whole - union) / np.maximum(whole - 1, 1) + union * (1 - t) * CHANCE)
+    close = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+    return close & (equal >= union * (t + (1 - t) * CHANCE) - MARGIN * spread - 1)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -120,19 +154,22 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id (digest of the set, null for the empty set), regs of each row."""
+    """doc_id, n_shingles, set_id (digest of the set, null for the empty set), regs, fine, packed (the text, compressed) of each row."""
 
     def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=3)
         for batch, texts in slices(batches, "text"):
-            n, ids, regs = [], [], []
+            n, ids, regs, fine, packed = [], [], [], [], []
             for t in texts:
                 s = shingles(t)
                 n.append(len(s))
                 ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 regs.append(registers(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "set_id": pa.array(ids, pa.binary()), "regs": pa.array(regs, pa.binary())})
+                fine.append(fine_sketch(s).tobytes() if len(s) else None)
+                packed.append(squeeze.compress(t.encode("utf-8", "surrogatepass")) if len(s) else None)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "set_id": pa.array(ids, pa.binary()), "regs": pa.array(regs, pa.binary()), "fine": pa.array(fine, pa.binary()), "packed": pa.array(packed, pa.binary())})
 
-    return map_arrow(check_columns(docs, "doc_id", "text"), run, "doc_id long, n_shingles long, set_id binary, regs binary")
+    return map_arrow(check_columns(docs, "doc_id", "text"), run, "doc_id long, n_shingles long, set_id binary, regs binary, fine binary, packed binary")
 
 
 def _bucket_rows(nodes: DataFrame) -> DataFrame:
@@ -145,78 +182,80 @@ def _bucket_rows(nodes: DataFrame) -> DataFrame:
     return map_arrow(nodes.select("node", "regs"), run, "key long, node long")
 
 
+def _merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    return left.join(right.hint("merge"), on, how)
+
+
 def _may_be_similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose set sizes and sketches do not rule them out."""
-    least = least_estimate(percent / 100)
-    of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    both = both.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}"))
+    both = _merged(_merged(pairs, of("a"), "a"), of("b"), "b")
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, K) for i in (2, 3))
-                yield batch.select([0, 1]).filter(pa.array(estimate((x == y).mean(1)) >= least))
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(-1, FINE) for i in (4, 5))
+                n_a, n_b = (part.column(i).to_numpy() for i in (2, 3))
+                yield part.select([0, 1]).filter(pa.array(may_reach(x, n_a, y, n_b, percent)))
 
-    return map_arrow(both.select("a", "b", "regs_a", "regs_b"), run, "a long, b long")
+    return map_arrow(both.select("a", "b", "n_a", "n_b", "fine_a", "fine_b"), run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """Pairs (a, b) that are similar on the full sets of their documents' texts."""
+def _confirmed(pairs: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """Pairs (a, b) that are similar on the full sets of their texts."""
     members = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = docs.join(members, docs["doc_id"] == members["node"]).groupBy("node", F.xxhash64("text").alias("tag")).agg(F.first("text").alias("text")).select("node", "text")
-    texts = scratch.cut(texts, f"{name}-texts")
+    texts = scratch.cut(_merged(nodes.select("node", "packed"), members, "node", "left_semi"), f"{name}-texts")
 
     def run(batches):
-        now, held = None, None
+        unpack, now, held = zstandard.ZstdDecompressor().decompress, None, None
         for batch in batches:
             good = []
-            for a, at, b, bt in zip(*(c for c in batch.columns)):
-                if b.as_py() != now:
-                    now, held = b.as_py(), shingles(bt.as_py())
-                good.append(similar(shingles(at.as_py()), held, percent))
+            for a, b, b_id in zip(batch.column(1), batch.column(3), batch.column(2).to_pylist()):
+                if b_id != now:
+                    now, held = b_id, shingles(unpack(b.as_py()))
+                good.append(similar(shingles(unpack(a.as_py())), held, percent))
             yield batch.select([0, 2]).filter(pa.array(good, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("at")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("bt")).hint("merge"), "b")
+    both = _merged(pairs, texts.select(F.col("node").alias("a"), F.col("packed").alias("at")), "a")
+    both = _merged(both, texts.select(F.col("node").alias("b"), F.col("packed").alias("bt")), "b")
     found = scratch.cut(map_arrow(both.select("a", "at", "b", "bt"), run, "a long, b long"), name)
     scratch.drop(f"{name}-texts")
     return found
 
 
 def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components that share a bucket and have like sketches.
+    """Pairs of nodes of different components that share a bucket and may be similar by their sketches.
 
-    rows: key, node, comp, bits (four bits of each register), chunks.  A
-    node meets the nodes of its own and all other blocks of its bucket, and
-    within a pair of blocks only similar pairs are given.
+    rows: key, node, comp, n, fine, chunks.  A node meets the nodes of its own
+    and all other blocks of its bucket, and within a pair of blocks only pairs
+    that may be similar are given.
     """
-    # Agreement of four bits by chance adds (1 - J) / 16.
-    least = least_estimate(percent / 100)
-    least = int(np.floor(K * (least + (1 - least) / 16 - 0.05)))
     own = F.pmod(F.xxhash64("node"), F.col("chunks"))
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "bits")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "fine")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
 
-    def pairs_of(i, j, own, node, comp, bits):
-        x = np.frombuffer(b"".join(bits), np.uint8).reshape(len(node), -1)
+    def pairs_of(i, j, own, node, comp, n, fine):
+        x = np.frombuffer(b"".join(fine), np.uint8).reshape(len(node), FINE)
         first = np.flatnonzero(own == i) if i != j else np.arange(len(node))
         second = np.flatnonzero(own == j) if i != j else first
         for p in first.tolist():
             q = second[second > p] if i == j else second
             q = q[comp[q] != comp[p]]
+            q = q[100 * np.minimum(n[q], n[p]) >= percent * np.maximum(n[q], n[p])]
             if len(q):
-                q = q[_EQUAL[x[q] ^ x[p]].sum(1) >= least]
+                q = q[may_reach(x[q], n[q], x[p], n[p], percent)]
                 for r in q.tolist():
                     yield (node[p], node[r]) if node[p] < node[r] else (node[r], node[p])
 
     def run(batches):
-        now, held = None, [[], [], [], []]
+        now, held = None, [[], [], [], [], []]
         seen: set = set()
 
         def close():
             if now is not None and len(held[0]) > 1:
-                seen.update(pairs_of(now[1], now[2], np.array(held[0]), np.array(held[1]), np.array(held[2]), held[3]))
+                seen.update(pairs_of(now[1], now[2], *map(np.array, held[:4]), held[4]))
 
         def give():
             out = sorted(seen)
@@ -224,8 +263,7 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_pydict({"a": pa.array([int(p[0]) for p in out], pa.int64()), "b": pa.array([int(p[1]) for p in out], pa.int64())})
 
         for batch in batches:
-            key, i, j, own, node, comp = (batch.column(c).to_numpy() for c in range(6))
-            bits = batch.column(6).to_pylist()
+            key, i, j, own, node, comp, n = (batch.column(c).to_numpy() for c in range(7))
             if not len(key):
                 continue
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
@@ -233,10 +271,10 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 at = (key[s], i[s], j[s])
                 if at != now:
                     close()
-                    now, held = at, [[], [], [], []]
-                for h, part in zip(held, (own, node, comp)):
+                    now, held = at, [[], [], [], [], []]
+                for h, part in zip(held, (own, node, comp, n)):
                     h.extend(part[s:e].tolist())
-                held[3].extend(bits[s:e])
+                held[4].extend(batch.column(7).slice(s, e - s).to_pylist())
             if len(seen) > 50_000:
                 yield give()
         close()
@@ -258,11 +296,11 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = scratch.cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m")), f"{name}-m{turn}")
         # Large star: each larger neighbour goes to the least one.
-        large = both.filter("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = _merged(both.filter("v > u"), least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = scratch.cut(large, f"{name}-l{turn}")
         # Small star: smaller neighbours and the node itself go to the least one.
         least = scratch.cut(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c"), f"{name}-s{turn}")
-        small = large.join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
+        small = _merged(large, least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
         turn += 1
         small = scratch.cut(small, f"{name}-{turn}")
         scratch.drop(f"{name}-m{turn - 1}", f"{name}-l{turn - 1}", f"{name}-s{turn - 1}", f"{name}-{turn - 1}")
@@ -286,50 +324,40 @@ def near_dedup(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataFram
     registers a pair at 0.85 fails to be one with a chance of 6e-11, at 0.8
     of 5e-8, and the estimate rules one out six standard errors below.
     """
-    docs = check_columns(docs, "doc_id", "text")
     sketched = scratch.cut(sketch(docs), "sketch")
-    nodes = sketched.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
+    nodes = sketched.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("fine").alias("fine"), F.first("packed").alias("packed"))
     nodes = scratch.cut(nodes, "nodes")
 
     rows = scratch.cut(_bucket_rows(nodes), "rows")
     sizes = scratch.cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
-    buckets = scratch.cut(rows.join(sizes, "key"), "buckets")
-    scratch.drop("rows")
+    buckets = scratch.cut(_merged(rows, sizes, "key"), "buckets")
+    scratch.drop("rows", "sizes")
     degree = buckets.groupBy("node").agg(F.sum("size").alias("degree"))
-    hubs = buckets.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("order"))).alias("best")).select("key", (-F.col("best.order")).alias("hub"))
-    hubs = scratch.cut(hubs, "hubs")
-    stars = buckets.join(hubs, "key").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = _merged(buckets, degree, "node").groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("order"))).alias("best")).select("key", (-F.col("best.order")).alias("hub"))
+    stars = _merged(buckets, hubs, "key").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     stars = scratch.cut(stars, "stars")
     tried = scratch.cut(_may_be_similar(stars, nodes, percent), "tried")
-    links = _confirmed(tried, docs, percent, scratch, "links")
+    links = _confirmed(tried, nodes, percent, scratch, "links")
     comps = scratch.cut(components(links, scratch, "cc"), "comps")
 
     # What hubs left open: buckets with nodes of different components.
-    bits = nodes.select("node", "regs")
-
-    def small(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict({"node": batch.column(0), "bits": pa.array([_nibbles(np.frombuffer(r.as_py(), np.uint16)) for r in batch.column(1)], pa.binary())})
-
-    bits = map_arrow(bits, small, "node long, bits binary")
-    labelled = buckets.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    labelled = _merged(buckets.select("key", "node"), comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     labelled = scratch.cut(labelled, "labelled")
-    # In a bucket that is a hub's component and one other node, that pair is left only with the component's other nodes.
+    scratch.drop("buckets", "tried")
+    # In a bucket of two the one pair there is was compared with its hub.
     open_keys = labelled.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("size")).filter("least < most AND size > 2")
     open_keys = scratch.cut(open_keys.select("key", F.ceil(F.col("size") / BLOCK).cast("long").alias("chunks")), "open")
-    rest = labelled.join(open_keys, "key").join(bits, "node").select("key", "node", "comp", "bits", "chunks")
-    crossing = _cross_pairs(rest, percent)
+    rest = _merged(_merged(labelled, open_keys, "key"), nodes.select("node", "n", "fine"), "node").select("key", "node", "comp", "n", "fine", "chunks")
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crossing = scratch.cut(crossing.join(done, ["a", "b"], "left_anti"), "crossing")
-    more = scratch.cut(_may_be_similar(crossing, nodes, percent), "more")
-    links = links.union(_confirmed(more, docs, percent, scratch, "late"))
+    crossing = scratch.cut(_merged(_cross_pairs(rest, percent), done, ["a", "b"], "left_anti"), "crossing")
+    scratch.drop("labelled", "stars", "open")
+    links = links.union(_confirmed(crossing, nodes, percent, scratch, "late"))
     comps = scratch.cut(components(links, scratch, "all"), "final")
 
-    by_set = nodes.join(comps, "node", "left").select("set_id", F.coalesce("comp", "node").alias("component_id"))
+    by_set = _merged(nodes.select("set_id", "node"), comps, "node", "left").select("set_id", F.coalesce("comp", "node").alias("component_id"))
     by_set = scratch.cut(by_set, "by_set")
-    scratch.drop("buckets", "labelled", "nodes", "hubs", "stars", "crossing", "more", "tried")
-    found = sketched.select("doc_id", "n_shingles", "set_id").join(by_set, "set_id", "left")
+    scratch.drop("nodes", "crossing", "comps", "links", "late")
+    found = sketched.select("doc_id", "n_shingles", "set_id").join(by_set.hint("merge"), "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
