@@ -227,17 +227,21 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, percent: int, scratch: Scratc
 def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of different components that share a bucket and may be similar by their sketches.
 
-    rows: key, node, comp, n, fine, chunks.  A node meets the nodes of its own
-    and all other blocks of its bucket, and within a pair of blocks only pairs
-    that may be similar are given.
+    rows: key, node, comp, n, fine, regs, chunks.  A node meets the nodes of
+    its own and all other blocks of its bucket, and within a pair of blocks
+    only pairs that may be similar are given.  Pairs that share several
+    buckets are given by the one of their first common band alone; where that
+    bucket has no other nodes, its hub has been compared already.
     """
     own = F.pmod(F.xxhash64("node"), F.col("chunks"))
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "fine")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "fine", "regs")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
 
-    def pairs_of(i, j, own, node, comp, n, fine):
+    def pairs_of(key, i, j, own, node, comp, n, fine, regs):
         x = np.frombuffer(b"".join(fine), np.uint8).reshape(len(node), FINE)
+        bands = np.frombuffer(b"".join(regs), np.uint64).reshape(len(node), K // ROWS)
+        band = int(np.flatnonzero(band_keys(np.frombuffer(regs[0], np.uint16)) == key)[0])
         first = np.flatnonzero(own == i) if i != j else np.arange(len(node))
         second = np.flatnonzero(own == j) if i != j else first
         for p in first.tolist():
@@ -246,19 +250,20 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
             q = q[100 * np.minimum(n[q], n[p]) >= percent * np.maximum(n[q], n[p])]
             if len(q):
                 q = q[may_reach(x[q], n[q], x[p], n[p], percent)]
+                q = q[(bands[q, :band] != bands[p, :band]).all(1)]
                 for r in q.tolist():
                     yield (node[p], node[r]) if node[p] < node[r] else (node[r], node[p])
 
     def run(batches):
-        now, held = None, [[], [], [], [], []]
-        seen: set = set()
+        now, held = None, [[], [], [], [], [], []]
+        seen: list = []
 
         def close():
             if now is not None and len(held[0]) > 1:
-                seen.update(pairs_of(now[1], now[2], *map(np.array, held[:4]), held[4]))
+                seen.extend(pairs_of(*now, *map(np.array, held[:4]), *held[4:]))
 
         def give():
-            out = sorted(seen)
+            out = list(seen)
             seen.clear()
             return pa.RecordBatch.from_pydict({"a": pa.array([int(p[0]) for p in out], pa.int64()), "b": pa.array([int(p[1]) for p in out], pa.int64())})
 
@@ -271,16 +276,17 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 at = (key[s], i[s], j[s])
                 if at != now:
                     close()
-                    now, held = at, [[], [], [], [], []]
+                    now, held = at, [[], [], [], [], [], []]
                 for h, part in zip(held, (own, node, comp, n)):
                     h.extend(part[s:e].tolist())
                 held[4].extend(batch.column(7).slice(s, e - s).to_pylist())
+                held[5].extend(batch.column(8).slice(s, e - s).to_pylist())
             if len(seen) > 50_000:
                 yield give()
         close()
         yield give()
 
-    return map_arrow(rows, run, "a long, b long").distinct()
+    return map_arrow(rows, run, "a long, b long")
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -347,7 +353,7 @@ def near_dedup(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataFram
     # In a bucket of two the one pair there is was compared with its hub.
     open_keys = labelled.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("size")).filter("least < most AND size > 2")
     open_keys = scratch.cut(open_keys.select("key", F.ceil(F.col("size") / BLOCK).cast("long").alias("chunks")), "open")
-    rest = _merged(_merged(labelled, open_keys, "key"), nodes.select("node", "n", "fine"), "node").select("key", "node", "comp", "n", "fine", "chunks")
+    rest = _merged(_merged(labelled, open_keys, "key"), nodes.select("node", "n", "fine", "regs"), "node").select("key", "node", "comp", "n", "fine", "regs", "chunks")
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crossing = scratch.cut(_merged(_cross_pairs(rest, percent), done, ["a", "b"], "left_anti"), "crossing")
     scratch.drop("labelled", "stars", "open")
