@@ -103,6 +103,14 @@ _quick(
     [],
 )
 _quick("tc_ytd", {"ytd": {"kind": "year_to_date"}}, _QM + "SELECT year, quarter, round(sum(x) OVER (PARTITION BY year ORDER BY quarter ROWS UNBOUNDED PRECEDING), 4) AS ytd FROM m", (YEAR, _QUARTER), ["quarter"], ["year"])
+_quick(
+    "tc_ytd_growth",
+    {"growth": {"kind": "year_to_date_growth", "per": 4, "partition": ["year"], "order": ["quarter"]}},
+    _QM.rstrip() + ", y AS (SELECT year, quarter, sum(x) OVER (PARTITION BY year ORDER BY quarter ROWS UNBOUNDED PRECEDING) AS t FROM m) SELECT year, quarter, round((t - lag(t, 4) OVER w) / abs(lag(t, 4) OVER w), 4) AS growth FROM y WINDOW w AS (ORDER BY year, quarter)",
+    (YEAR, _QUARTER),
+    ["year", "quarter"],
+    [],
+)
 _quick("tc_quick_rank", {"dense": {"kind": "rank", "style": "dense", "way": "asc"}, "window": {"kind": "window", "agg": "MAX"}, "run": {"kind": "running", "agg": "AVG"}}, _MARKS + f"SELECT year, Priority, CAST(dense_rank() OVER ({_P} ORDER BY x) AS BIGINT) AS dense, round(max(x) OVER ({_P}), 4) AS \"window\", round(avg(x) OVER ({_PO} ROWS UNBOUNDED PRECEDING), 4) AS run FROM m")
 view(
     "tc_window_pairs",

@@ -54,6 +54,15 @@ class Table:
         return self.df.select(*[widened(F.col(f"`{f.name}`"), f.dataType).alias(self.qualified(f.name)) for f in self.df.schema])
 
 
+def _free(name: str, taken: set[str]) -> str:
+    """The name, with a number where another one is the same but for case."""
+    out, n = name, 2
+    while out.lower() in taken:
+        out, n = f"{name} {n}", n + 1
+    taken.add(out.lower())
+    return out
+
+
 def literal(value) -> Lit:
     """A Python value as a literal."""
     for kind, dtype in ((bool, BOOL), (int, INT), (float, REAL), (str, TEXT), (datetime, DATETIME), (date, DATE)):
@@ -68,19 +77,43 @@ class Model:
     """Tables, relationships, calculated fields (caption to formula) and parameters (name to value).
 
     ``anchor`` is what TODAY and relative dates refer to; by default the time
-    at which the model was made, so one model gives one answer.
+    at which the model was made, so one model gives one answer.  ``trusted``
+    says that every child key has its parent: a parent's key column is then
+    read from the child, without a join.
     """
 
-    def __init__(self, tables: Sequence[Table], relationships: Sequence[Relationship] = (), calcs: Mapping[str, str] | None = None, params: Mapping[str, object] | None = None, anchor: datetime | None = None):
+    def __init__(self, tables: Sequence[Table], relationships: Sequence[Relationship] = (), calcs: Mapping[str, str] | None = None, params: Mapping[str, object] | None = None, anchor: datetime | None = None, trusted: bool = False):
         self.tables = {t.name: t for t in tables}
         self.relationships = list(relationships)
-        self.calcs, self.params = dict(calcs or {}), dict(params or {})
+        self.calcs, self.params, self.trusted = dict(calcs or {}), dict(params or {}), trusted
         self.anchor = anchor or datetime.now(UTC).replace(tzinfo=None, microsecond=0)
         for r in self.relationships:
             for name, column in ((r.child, r.child_column), (r.parent, r.parent_column)):
                 if name not in self.tables or column not in self.tables[name].df.columns:
                     raise UnsupportedCalc(f"a relationship needs {name}.{column}", "cross table")
 
+    @classmethod
+    def combined(cls, models: Sequence[Model]) -> Model:
+        """All tables of several models; names of tables and calculations that clash get a number."""
+        tables, edges, calcs, params = [], [], {}, {}
+        for m in models:
+            names = {}
+            taken = {t.name.lower() for t in tables}
+            for t in m.tables.values():
+                names[t.name] = _free(t.name, taken)
+                tables.append(Table(names[t.name], t.df, t.captions))
+            edges += [Relationship(names[r.child], r.child_column, names[r.parent], r.parent_column) for r in m.relationships]
+            taken = {c.lower() for c in calcs}
+            for name, formula in m.calcs.items():
+                calcs[name if calcs.get(name) == formula else _free(name, taken)] = formula
+            params |= {k: v for k, v in m.params.items() if k not in params}
+        return cls(tables, edges, calcs, params, models[0].anchor if models else None, all(m.trusted for m in models))
+
+    def with_params(self, params: Mapping[str, object]) -> Model:
+        if unknown := params.keys() - self.params.keys():
+            raise UnsupportedCalc(f"no parameter {', '.join(sorted(unknown))}", "parameter")
+        return Model(list(self.tables.values()), self.relationships, self.calcs, self.params | dict(params), self.anchor, self.trusted)
+
     @classmethod
     def single(cls, df: DataFrame, name: str = "data", **options) -> Model:
         return cls([Table(name, df, options.pop("captions", {}))], **options)
@@ -120,10 +153,21 @@ class Model:
                 if node.name in path:
                     raise UnsupportedCalc(" -> ".join([*path, node.name]), "cycle")
                 return self.expand(parse(self.calcs[node.name]), (*path, node.name))
+            if self.trusted and (key := self._child_key(node)) is not None:
+                return key
             if node.name == RECORDS and not any(RECORDS in t.columns for t in self.tables.values()) or (node.table or "").endswith("_internal_object_id__"):
                 return Lit(1, INT)
         return node.rebuild(lambda n: self.expand(n, path))
 
+    def _child_key(self, f: Field) -> Field | None:
+        """The child's column that equals a parent's key, from the only child there is."""
+        try:
+            t, c = self.resolve(f)
+        except UnsupportedCalc:
+            return None
+        found = [r for r in self.relationships if (r.parent, r.parent_column) == (t.name, c)]
+        return Field(found[0].child_column, found[0].child) if len(found) == 1 else None
+
     def tables_of(self, *nodes: Node) -> set[str]:
         return {self.resolve(f)[0].name for n in nodes for f in n.walk() if isinstance(f, Field)}
 

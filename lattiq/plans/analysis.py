@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lattiq.errors import UnsupportedCalc
 from lattiq.functions.aggregates import AGGREGATES
 from lattiq.functions.scalar import REFUSED, SCALARS, common_type, divide, double, floored_mod
-from lattiq.plans.nodes import BOOL, DATE, DATETIME, INT, NULL, NUMBERS, REAL, TEXT, TIMES, Binary, Call, Case, Field, In, Lit, Lod, Node, Param, Slot, Unary
+from lattiq.plans.nodes import BOOL, DATE, DATETIME, INT, NULL, NUMBERS, REAL, TEXT, TIMES, Along, Binary, Call, Case, Field, In, Lit, Lod, Node, Param, Slot, Unary
 
 #: Levels: constant, row, aggregate (one value a mark), table (over marks). A LOD expression fits row and aggregate.
 CONST, ROW, AGG, TABLE, LOD = "const", "row", "agg", "table", "lod"
@@ -102,6 +102,8 @@ class Analyzer:
             return self._case(node)
         if isinstance(node, Lod):
             return self._lod(node)
+        if isinstance(node, Along):
+            return self.info(node.body)
         assert isinstance(node, Call)
         return self._call(node)
 

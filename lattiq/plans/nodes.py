@@ -106,3 +106,12 @@ class Slot(Node):
     column: str
     dtype: str
     level: str
+
+
+@dataclass(frozen=True)
+class Along(Node):
+    """A table calculation with an addressing of its own inside another one."""
+
+    body: Node
+    partition: tuple[str, ...]
+    order: tuple[tuple[str, bool], ...]

@@ -16,7 +16,7 @@ from lattiq.errors import UnsupportedCalc
 from lattiq.functions.scalar import divide
 from lattiq.plans.analysis import TABLE, TABLE_CALCS, Analyzer, Lowerer
 from lattiq.plans.grain import fresh
-from lattiq.plans.nodes import BOOL, DATE, DATETIME, INT, NULL, REAL, TEXT, Binary, Call, Case, Lit, Node, Param, Slot
+from lattiq.plans.nodes import BOOL, DATE, DATETIME, INT, NULL, REAL, TEXT, Along, Binary, Call, Case, Lit, Node, Param, Slot
 
 _START, _END = Window.unboundedPreceding, Window.unboundedFollowing
 _PLAIN = {"SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max, "COUNT": F.count, "STDEV": F.stddev_samp, "STDEVP": F.stddev_pop, "VAR": F.var_samp, "VARP": F.var_pop}
@@ -107,6 +107,8 @@ class TableCalcs:
         return Slot(out, dtype, TABLE)
 
     def add(self, node: Node, at: Addressing) -> Node:
+        if isinstance(node, Along):
+            return self.add(node.body, Addressing(node.partition, node.order))
         if not (isinstance(node, Call) and node.name in TABLE_CALCS):
             return node.rebuild(lambda n: self.add(n, at))
         if (node, at) in self.done:
@@ -203,9 +205,13 @@ def quick(kind: str, x: Node, **options) -> Node:
     percent_difference (absolute: divide by the size of the prior value, which
     is the default, or by the value itself), percent_of_total, moving_average
     (back, forth), compound_growth, percentile, year_over_year (per: marks a
-    year).
+    year), year_to_date_growth (per, and partition and order of the sum to
+    date, which restarts each year while the growth runs along all years).
     """
     k = lambda v: Lit(v, INT)
+    if kind == "year_to_date_growth":
+        to_date = Along(Call("RUNNING_SUM", (x,)), tuple(options["partition"]), tuple((o, False) for o in options["order"]))
+        return quick("year_over_year", to_date, per=options["per"])
     prior = Call("LOOKUP", (x, k(-options.get("per", 1))))
     if kind in ("running", "year_to_date"):  # year to date: with the year among the partition
         return Call(f"RUNNING_{options.get('agg', 'SUM')}", (x,))

@@ -19,7 +19,7 @@ from lattiq.operators.filters import Filter, condition
 from lattiq.operators.model import Model
 from lattiq.plans.analysis import AGG, CONST, LOD, ROW, TABLE, Analyzer, Lowerer
 from lattiq.plans.grain import Grain, Rows, fresh, null_safe_join
-from lattiq.plans.nodes import INT, NUMBERS, REAL, TEXT, Binary, Call, Field, Lit, Lod, Node, Slot
+from lattiq.plans.nodes import INT, NUMBERS, REAL, TEXT, Along, Binary, Call, Field, Lit, Lod, Node, Slot
 from lattiq.plans.parser import parse
 from lattiq.plans.tablecalc import Addressing, TableCalcs
 
@@ -70,10 +70,7 @@ class ViewQuery:
 class _Planner:
     def __init__(self, model: Model, query: ViewQuery):
         if query.parameters:
-            unknown = query.parameters.keys() - model.params.keys()
-            if unknown:
-                raise UnsupportedCalc(f"no parameter {', '.join(sorted(unknown))}", "parameter")
-            model = Model(list(model.tables.values()), model.relationships, model.calcs, model.params | query.parameters, model.anchor)
+            model = model.with_params(query.parameters)
         self.model, self.query = model, query
         self.analyzer = Analyzer(model.field_type, model.param, model.anchor)
 
@@ -263,12 +260,17 @@ class _WithTotals(_Planner):
         """Which totals are wanted at which partition; those of one partition are aggregated together."""
         self.wanted: dict[frozenset[str], list[str]] = {}
         self.found: dict[tuple[frozenset[str], str], Slot] = {}
+
+        def look(n: Node, part: tuple[str, ...]) -> None:
+            if isinstance(n, Call) and n.name == "TOTAL":
+                names = self.wanted.setdefault(frozenset(part), [])
+                if n.args[0].column not in names:
+                    names.append(n.args[0].column)
+            for c in n.children():
+                look(c, n.partition if isinstance(n, Along) else part)
+
         for tree, at in trees:
-            for n in tree.walk():
-                if isinstance(n, Call) and n.name == "TOTAL":
-                    names = self.wanted.setdefault(frozenset(at.partition), [])
-                    if n.args[0].column not in names:
-                        names.append(n.args[0].column)
+            look(tree, at.partition)
 
     def total(self, marks, node, at, dims, plain, tops):
         part = frozenset(at.partition)

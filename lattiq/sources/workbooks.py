@@ -477,3 +477,15 @@ def coverage(book: Workbook) -> dict[str, str]:
         except UnsupportedCalc as e:
             out[name] = str(e)
     return out
+
+
+def find(folder: str) -> dict[str, Workbook | UnsupportedCalc]:
+    """All workbook files under a folder, read or refused one by one."""
+    out: dict[str, Workbook | UnsupportedCalc] = {}
+    for p in sorted(Path(folder).rglob("*")):
+        if p.suffix.lower() in (".tds", ".twb", ".tdsx", ".twbx"):
+            try:
+                out[str(p)] = load(str(p))
+            except (UnsupportedCalc, OSError, UnicodeDecodeError, zipfile.BadZipFile) as e:
+                out[str(p)] = e if isinstance(e, UnsupportedCalc) else UnsupportedCalc(str(e), "source")
+    return out

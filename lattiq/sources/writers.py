@@ -56,3 +56,14 @@ def materialise(model: Model, formulas: Mapping[str, str], table: str) -> Materi
     out = enriched(model, formulas)
     out.df.write.mode("overwrite").saveAsTable(".".join(f"`{p}`" for p in table_name(table)))
     return out
+
+
+def materialise_all(specs: Mapping[str, tuple[Model, Mapping[str, str]]]) -> dict[str, Materialised | UnsupportedCalc]:
+    """Writes several tables (name to model and formulas); one that is refused does not stop the others."""
+    out: dict[str, Materialised | UnsupportedCalc] = {}
+    for table, (model, formulas) in specs.items():
+        try:
+            out[table] = materialise(model, formulas, table)
+        except UnsupportedCalc as e:
+            out[table] = e
+    return out

@@ -143,3 +143,16 @@ def test_plan_reads_only_what_it_needs(spark):
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_extendedprice:double,l_discount:double>" in plan
     assert "Python" not in plan and "customer" not in plan
+
+
+def test_combined_and_trusted_models(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, g string")
+    b = spark.createDataFrame([(1, 10), (1, 20), (2, 5)], "bk int, v int")
+    one = Model([Table("a", a), Table("b", b)], [Relationship("b", "bk", "a", "k")], {"c": "SUM([v])"}, trusted=True)
+    assert show(one, ["k", ("s", "SUM([v])")]) == [(1, 30), (2, 5)]
+    plan = run_view(one, {"fields": [{"fieldCaption": "k"}, {"fieldCaption": "v", "function": "SUM"}]})._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    both = Model.combined([one, Model([Table("A", a)], calcs={"c": "COUNT([g])"})])
+    assert set(both.tables) == {"a", "b", "A 2"} and both.calcs == {"c": "SUM([v])", "c 2": "COUNT([g])"}
+    assert show(both, [("s", "[c]")]) == [(35,)]
+    assert {r["type"] for r in both.describe(spark).collect()} == {"int", "text", "calculation"}

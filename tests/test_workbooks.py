@@ -107,3 +107,5 @@ def test_zipped(tmp_path, book):
         z.writestr("x/b.twb", "﻿" + BOOK)
         z.writestr("data.csv", "")
     assert list(wb.load(str(tmp_path / "b.twbx")).sheets) == list(book.sheets)
+    (tmp_path / "bad.twb").write_text("<")
+    assert [isinstance(x, UnsupportedCalc) for x in wb.find(str(tmp_path)).values()] == [False, True]
