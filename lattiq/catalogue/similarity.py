@@ -95,6 +95,11 @@ def _confidence(spark, sf_dir):
     return sim.borderline(sim.confidence(sim.compare_inventories(*_sides(spark, sf_dir))))
 
 
+@register("inventory_review", None)
+def _review(spark, sf_dir):
+    return sim.review(sim.compare_inventories(*_sides(spark, sf_dir)))
+
+
 def _sides(spark, sf_dir):
     own = inventory(spark, sf_dir)
     return own.filter(F.col("id").contains("BUILDING")), own.filter(~F.col("id").contains("BUILDING"))

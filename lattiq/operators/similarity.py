@@ -66,6 +66,7 @@ CONNECTORS = {
 CONNECTOR_WORDS = (("snowflake", "snowflake"), ("postgres", "postgres"), ("sql server", "sqlserver"), ("sqlserver", "sqlserver"), ("mssql", "sqlserver"), ("sqldb", "sqlserver"), ("redshift", "redshift"), ("bigquery", "bigquery"), ("oracle", "oracle"), ("mysql", "mysql"), ("databricks", "databricks"))
 NEAR_TIE, BORDERLINE = 0.10, 0.07
 NAME_STRONG, COLUMN_STRONG, SOURCE_STRONG = 0.85, 0.60, 0.50
+REVIEW_TIE, REVIEW_FLOOR, REVIEW_HIGH, REVIEW_LOW = 0.07, 0.40, 0.50, 0.20
 IMPORTANCE = {"reach": 0.45, "views": 0.40, "certified": 0.15}
 REACH_HALF, VIEWS_HALF = 8.0, 500.0
 IMPORTANCE_BANDS = (("Critical", 0.62), ("High", 0.38), ("Moderate", 0.17), ("Low", 0.0))
@@ -310,6 +311,26 @@ def borderline(scored: DataFrame, strong_cut: float = 0.65, partial_cut: float =
     return scored.withColumn("reasons", F.filter(F.array(*[F.when(t, F.lit(n)) for n, t in tests]), lambda x: x.isNotNull()))
 
 
+def review(candidates: DataFrame) -> DataFrame:
+    """Best matches with ``review``: why someone should look at one (null: the verdict is clear).
+
+    near_tie: two real contenders; renamed: names and columns disagree;
+    obscured_source: no physical source to compare; borderline: Partial or
+    Weak; likely_rebuild: next to nothing in common.
+    """
+    runner = candidates.filter("rank = 2").select(F.col("left_id").alias("_l"), F.col("score").alias("_runner"))
+    best = candidates.filter("rank = 1").join(runner, F.col("left_id") == F.col("_l"), "left")
+    name, column, tier = F.col("name_score"), F.col("column_score"), F.col("tier")
+    reason = (
+        F.when((F.col("score") >= REVIEW_FLOOR) & (F.col("score") - F.col("_runner") < REVIEW_TIE), "near_tie")
+        .when((tier != "None") & ((name >= REVIEW_HIGH) & (column <= REVIEW_LOW) | (column >= REVIEW_HIGH) & (name <= REVIEW_LOW)), "renamed")
+        .when(tier.isin("Strong", "Partial", "Weak") & F.col("source_score").isNull(), "obscured_source")
+        .when(tier.isin("Partial", "Weak"), "borderline")
+        .when(tier == "None", "likely_rebuild")
+    )
+    return best.select(*candidates.columns, reason.alias("review"))
+
+
 def logic_parity(calcs: Column, measures: Column) -> Column:
     """none, likely, partial or unverified: whether calculations have measures of the same name."""
     wanted = F.array_distinct(F.filter(F.transform(calcs, token), lambda t: t != ""))

@@ -133,6 +133,7 @@ def test_matching(spark):
     assert {(r["left_id"], r["right_id"]) for r in sim.assign_one_to_one(c).collect()} >= {("l1", "r1")}
     assert {r["left_id"]: r["contested"] for r in sim.contested(c).collect()} == {"l1": True, "l3": True}
     assert [r["id"] for r in sim.unmatched(right, c).collect()] == ["r2"]
+    assert {r["left_id"]: r["review"] for r in sim.review(c).collect()} == {"l1": None, "l2": "likely_rebuild", "l3": None}
     levels = {r["left_id"]: (r["confidence"], r["mutual"]) for r in sim.confidence(c).collect()}
     assert levels["l1"] == ("Medium", True) and levels["l3"] == ("Medium", False) and levels["l2"][0] == "High"
 
