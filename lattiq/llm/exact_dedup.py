@@ -112,9 +112,7 @@ def exact_dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
     norm = F.encode(normalised(F.col("text")), "UTF-8")
     slim = docs.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_points"), F.sha2(norm, 256).alias("text_sha256"))
     slim = scratch.cut(slim.withColumn("fp", fingerprint(F.col("text_sha256"))), "slim")
-    blocks = 1
-    while blocks * BLOCK_ROWS < slim.count():
-        blocks *= 2
+    blocks = 1 << max(0, -(-slim.count() // BLOCK_ROWS) - 1).bit_length()
     many = scratch.cut(merge_filters(build_filters(slim, blocks)), "many")
     single = slim.join(many, "fp", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
 
