@@ -120,5 +120,5 @@ def mix(docs: DataFrame, scratch: Scratch, weights: dict[str, float] | None = No
 def in_mixture_order(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """``docs``, all rows and columns, in the order of the mixture over its partitions."""
     places = scratch.cut(mix(docs, scratch, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("position").alias("_position")).groupBy("_id", "_source").agg(F.min("_position").alias("_position")), "places")
-    found = docs.join(places, docs["doc_id"].eqNullSafe(places["_id"]) & (F.coalesce(docs["source"], F.lit("")) == places["_source"]))
+    found = docs.join(places.hint("merge"), docs["doc_id"].eqNullSafe(places["_id"]) & (F.coalesce(docs["source"], F.lit("")) == places["_source"]))
     return found.repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)
