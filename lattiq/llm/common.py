@@ -107,11 +107,21 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Re
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``df.mapInArrow`` in batches of bounded bytes: rows alone bound nothing where texts are long."""
+    """``df.mapInArrow`` in batches of bounded bytes: rows alone bound nothing where texts are long.
+
+    Workers are used again by later tasks, so each gives back what Arrow holds when its task ends.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
     importable(df.sparkSession)
     for key in ("maxBytesPerBatch", "maxBytesPerOutputBatch"):
         df.sparkSession.conf.set(f"spark.sql.execution.arrow.{key}", str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
 
 
 def check_columns(df: DataFrame, *names: str) -> DataFrame:
