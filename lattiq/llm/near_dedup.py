@@ -293,23 +293,23 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, comp (the least node of its component) for the nodes of links (a, b).
 
     Alternates large and small stars, whose number of rounds grows with the
-    logarithm of a component's size, and cuts the lineage in each round.
+    logarithm of a component's size, and cuts the lineage twice in each round.
     """
     edges = scratch.cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-0")
     state, turn = None, 0
     sums = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m")), f"{name}-m{turn}")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
         # Large star: each larger neighbour goes to the least one.
-        large = _merged(both.filter("v > u"), least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = _merged(both.filter("v > u"), least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         large = scratch.cut(large, f"{name}-l{turn}")
         # Small star: smaller neighbours and the node itself go to the least one.
-        least = scratch.cut(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c"), f"{name}-s{turn}")
+        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
         small = _merged(large, least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
         turn += 1
         small = scratch.cut(small, f"{name}-{turn}")
-        scratch.drop(f"{name}-m{turn - 1}", f"{name}-l{turn - 1}", f"{name}-s{turn - 1}", f"{name}-{turn - 1}")
+        scratch.drop(f"{name}-l{turn - 1}", f"{name}-{turn - 1}")
         edges, before, state = small, state, sums(small)
         if state == before:
             break
@@ -357,10 +357,13 @@ def near_dedup(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataFram
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crossing = scratch.cut(_merged(_cross_pairs(rest, percent), done, ["a", "b"], "left_anti"), "crossing")
     scratch.drop("labelled", "stars", "open")
-    links = links.union(_confirmed(crossing, nodes, percent, scratch, "late"))
-    comps = scratch.cut(components(links, scratch, "all"), "final")
-
+    late = _confirmed(crossing, nodes, percent, scratch, "late")
     by_set = _merged(nodes.select("set_id", "node"), comps, "node", "left").select("set_id", F.coalesce("comp", "node").alias("component_id"))
+    if not late.isEmpty():  # then components grow together
+        of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+        ends = _merged(_merged(late, of("a"), "a", "left"), of("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
+        grown = scratch.cut(components(ends, scratch, "all"), "grown")
+        by_set = _merged(by_set, grown, F.col("component_id") == F.col("node"), "left").select("set_id", F.coalesce("comp", "component_id").alias("component_id"))
     by_set = scratch.cut(by_set, "by_set")
     scratch.drop("nodes", "crossing", "comps", "links", "late")
     found = sketched.select("doc_id", "n_shingles", "set_id").join(by_set.hint("merge"), "set_id", "left")
