@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from lattiq.llm.common import check_columns, map_arrow, slices
 
 #: Words in each of the two generations that a worker remembers, so memory is bounded.
-CACHE_WORDS = 250_000
-CACHE_PAIRS = 500_000
+CACHE_WORDS = 180_000
+CACHE_PAIRS = 300_000
 #: Longer words are not remembered.
 CACHE_CHARS = 64
 
@@ -70,8 +70,8 @@ class ByteBPE:
         self.pattern = regex.compile(SPLIT)
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.pair_ok: dict[int, bool] = {}
-        self.words: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
+        self.words: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         # Only tokens that encode to themselves may be proposed.
         self.proposed = {b: i for b, i in vocab.items() if len(b) == 1 or self._merged(b) == [i]}
         # Every beginning of a proposed token; -1 where it is none itself.
@@ -163,15 +163,18 @@ class ByteBPE:
             at = m.end()
         return out + self.pattern.findall(text[at:])
 
-    def _entry(self, word: str, ids: list[int]) -> tuple[int, str, bytes]:
+    def _entry(self, word: str, ids: list[int]) -> str | tuple[str, str]:
+        """Decimal ids joined by commas; with the decoded text only where that is not the word itself."""
         ids = [self.added[word]] if word in self.added else ids
-        return len(ids), ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
+        joined, decoded = ",".join(map(str, ids)), self.decode(ids)
+        return joined if decoded == word else (joined, decoded)
 
-    def encode_batch(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
-        """For each text its pieces as (number of ids, decimal ids joined by commas, decoded bytes).
+    def encode_batch(self, texts: list[str]) -> list[tuple[str, str]]:
+        """For each text its decimal ids joined by commas, and what they decode to.
 
         A piece's ids and their decoding are worked out once while a worker
-        remembers the piece.
+        remembers the piece.  No piece cuts a character, so a text's decoding
+        is that of its pieces in order.
         """
         cut = [self.pieces(t) for t in texts]
         if len(self.words) > CACHE_WORDS:
@@ -184,13 +187,22 @@ class ByteBPE:
             else:
                 fresh.append(w)
         for w, ids in zip(fresh, self.encode_words(fresh)):
-            (known if len(w) <= CACHE_CHARS else extra)[w] = self._entry(w, ids)
-        if extra:
-            return [[known[w] if w in known else extra[w] for w in ws] for ws in cut]
-        return [list(map(known.__getitem__, ws)) for ws in cut]
+            entry = self._entry(w, ids)
+            if isinstance(entry, str) and len(w) <= CACHE_CHARS:
+                known[w] = entry
+            else:  # long pieces, and those that decode to something else
+                extra[w] = entry
+        if not extra:
+            return [(",".join(map(known.__getitem__, ws)), "".join(ws)) for ws in cut]
+        out = []
+        for ws in cut:
+            found = [known[w] if w in known else extra[w] for w in ws]
+            out.append((",".join(e if isinstance(e, str) else e[0] for e in found), "".join(w if isinstance(e, str) else e[1] for w, e in zip(ws, found))))
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.encode_batch([text])[0] for i in ids.split(",")]
+        ids = self.encode_batch([text])[0][0]
+        return [int(i) for i in ids.split(",")] if ids else []
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -216,10 +228,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -> D
         bpe = load(vocabulary)
         for batch, texts in slices(batches, "text"):
             n, ids_sha, text_sha, ids_all, texts_all = [], [], [], [], []
-            for pieces in bpe.encode_batch(texts):
-                counts, ids, raw = zip(*pieces) if pieces else ((), (), ())
-                ids, decoded = ",".join(ids), b"".join(raw).decode("utf-8", "replace")
-                n.append(sum(counts))
+            for ids, decoded in bpe.encode_batch(texts):
+                n.append(ids.count(",") + 1 if ids else 0)
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if keep_ids:
