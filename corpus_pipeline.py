@@ -35,8 +35,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text and their decoding, as counts and digests."""
-    return bpe.encode_decode(docs, tokenizer_path("byte_bpe_50k.json"))
+    """Ids of each text and their decoding, as counts and digests, with the place in the mixture.
+
+    Files keep no order that a reader can rely on, so ``position`` says it.
+    """
+    encoded = bpe.encode_decode(docs, tokenizer_path("byte_bpe_50k.json"), carry=("source",))
+    return mixing.with_position(encoded, docs, Scratch(spark, "pipeline-place"))
 
 
 STAGES = [

@@ -213,15 +213,18 @@ def load(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str, keep_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Encodes each text and decodes the ids again.
 
     ``docs`` needs doc_id and text; a null text counts as empty, and empty
     texts have no ids.  Rows stay as they are dealt: no shuffle, repeated and
     null doc_ids included.  Returns doc_id, n_tokens, ids_sha256 (of decimal
     ids joined by commas), decoded_sha256, and with ``keep_ids`` also ids and
-    decoded.  ``vocabulary`` is a path that every executor can read.
+    decoded, then the columns named in ``carry`` as they are.  ``vocabulary``
+    is a path that every executor can read.
     """
+    docs = check_columns(docs, "doc_id", "text", *carry)
+    kept = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
     more = ", ids array<int>, decoded string" if keep_ids else ""
 
     def run(batches):
@@ -238,6 +241,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -> D
             out = {"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
             if keep_ids:
                 out |= {"ids": pa.array(ids_all, pa.list_(pa.int32())), "decoded": pa.array(texts_all, pa.string())}
+            out |= {c: batch.column(batch.schema.get_field_index(c)) for c in carry}
             yield pa.RecordBatch.from_pydict(out)
 
-    return map_arrow(check_columns(docs, "doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more)
+    return map_arrow(docs, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more + kept)

@@ -122,3 +122,19 @@ def in_mixture_order(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     places = scratch.cut(mix(docs, scratch, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("position").alias("_position")).groupBy("_id", "_source").agg(F.min("_position").alias("_position")), "places")
     found = docs.join(places.hint("merge"), docs["doc_id"].eqNullSafe(places["_id"]) & (F.coalesce(docs["source"], F.lit("")) == places["_source"]))
     return found.repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)
+
+
+def with_position(rows: DataFrame, docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
+    """``rows``, one for each of ``docs``, with its position in the mixture of ``docs`` in place of source.
+
+    Rows that share doc_id and source take the positions of that pair in the
+    order of their other columns, so every position is taken once.
+    """
+    key = ["_id", "_source"]
+    places = scratch.cut(mix(docs, scratch, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "position"), "positions")
+    places = places.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy("position")))
+    others = [c for c in rows.columns if c != "source"]
+    rows = rows.select(*others, F.col("doc_id").alias("_row_id"), F.coalesce("source", F.lit("")).alias("_row_source"))
+    rows = rows.withColumn("_row_nth", F.row_number().over(Window.partitionBy("_row_id", "_row_source").orderBy(*others)))
+    same = rows["_row_id"].eqNullSafe(places["_id"]) & (rows["_row_source"] == places["_source"]) & (rows["_row_nth"] == places["_nth"])
+    return rows.join(places.hint("merge"), same).select(*others, "position")

@@ -54,3 +54,14 @@ def test_guard_without_the_subpackage(spark, tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not [n for n in q if n.startswith(('op1_', 'pipeline'))]; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_result_keeps_the_mixture(spark, odd_docs):
+    """Positions after encoding are those of the mixture, whatever the order of the rows."""
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents")
+    mixed = corpus_pipeline.mixture(spark, docs, sf).collect()
+    out = corpus_pipeline.encoding(spark, docs.repartition(7), sf).collect()
+    assert [r["doc_id"] for r in sorted(out, key=lambda r: r["position"])] == [r["doc_id"] for r in mixed]
+    odd = corpus_pipeline.encoding(spark, odd_docs, sf).collect()
+    assert sorted(r["position"] for r in odd) == list(range(odd_docs.count()))
