@@ -1,6 +1,8 @@
 """Pfair mixing: SQL at small size, lag bounds, weights, odd rows."""
 
+import math
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from oracle import connect, expected, found
@@ -43,3 +45,34 @@ def test_too_many_sources_are_refused(spark, scratch):
     docs = spark.range(3000).selectExpr("id AS doc_id", "cast(id AS string) AS source")
     with pytest.raises(ValueError):
         mix(docs, scratch, slots=100)
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 0.5, "b": 0.3, "c": 0.1985, "d": 0.0015}])
+def test_exact_mixing_keeps_to_the_weights_over_many_frames(spark, scratch, weights):
+    """Against earliest deadlines worked slot by slot, and the share of each source from fractions, run-outs included."""
+    sizes = {"a": 1500, "b": 907, "c": 600, "d": 14}
+    docs = spark.createDataFrame([(10_000 * i + j, s) for i, (s, n) in enumerate(sizes.items()) for j in range(n)], "doc_id long, source string")
+    rows = mix(docs, scratch, weights, block=1, slots=100, exact=True).orderBy("position").collect()
+    assert [r["position"] for r in rows] == [100 * r["frame"] + r["slot"] for r in rows] == list(range(sum(sizes.values())))
+    got = [r["source"] for r in rows]
+    w = {s: Fraction(weights[s]).limit_denominator(10_000) if weights else Fraction(n**0.5) for s, n in sizes.items()}
+    corners = sorted(n / w[s] for s, n in sizes.items())
+
+    def used(v):
+        return sum(min(Fraction(n), v * w[s]) for s, n in sizes.items())
+
+    due = {(s, j): (math.floor(round(used(j / w[s]), 6)), math.ceil(round(used((j + 1) / w[s]), 6))) for s, n in sizes.items() for j in range(n)}
+    nth, want = Counter(), []
+    for t in range(len(rows)):
+        s = min((s for s, n in sizes.items() if nth[s] < n and due[s, nth[s]][0] <= t), key=lambda s: (due[s, nth[s]][1], s))
+        nth[s] += 1
+        want.append(s)
+    assert got == want
+    seen = Counter()
+    for t, s in enumerate(got, 1):
+        seen[s] += 1
+        lo = max([c for c in corners if used(c) <= t], default=Fraction(0))
+        rate = sum(w[x] for x in sizes if sizes[x] / w[x] > lo)
+        v = lo + (t - used(lo)) / rate if rate else lo
+        assert all(abs(seen[x] - min(Fraction(n), v * w[x])) < 1 + Fraction(1, 10**5) for x, n in sizes.items())
+    assert mix(docs.limit(0), scratch.__class__(spark, "exact-empty"), exact=True).count() == 0
