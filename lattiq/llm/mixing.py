@@ -29,7 +29,7 @@ from lattiq.llm.common import Scratch, check_columns
 
 BLOCK_DOCS = 16
 FRAME_SLOTS = 1000
-#: Rows of all different frames together, which are broadcast; more sources must be grouped first.
+#: Rows of all different frames together, which are broadcast; larger patterns are written tables, if ``mix`` is asked for any number of sources.
 MAX_PATTERN = 2_000_000
 
 
@@ -132,17 +132,39 @@ def exact_jobs(sources: DataFrame) -> DataFrame:
     return end.select(F.lit(0).alias("g"), "source", "k", F.floor(start).alias("r"), F.ceil("end").alias("d"))
 
 
-def _by_weight(placed: DataFrame, sources: DataFrame, scratch: Scratch, slots: int) -> DataFrame:
+def large_pattern(sources: DataFrame, n_slots: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``pattern`` as a table of any size, and frame, first_frame of all frames.
+
+    Each slot of a frame scheduled is a block there is, so the pattern has no
+    more rows than there are blocks.
+    """
+    frames = sources.select("source", "blocks", "quota", F.explode(F.expr("sequence(0L, (blocks - 1) div quota)")).alias("frame"))
+    firsts = sources.select(F.explode(F.expr("array(0L, blocks div quota, (blocks + quota - 1) div quota)")).alias("first_frame")).distinct()
+    active = frames.join(firsts, F.col("frame") == F.col("first_frame")).withColumn("q", F.expr("least(quota, blocks - first_frame * quota)"))
+    active = active.withColumn("length", F.sum("q").over(Window.partitionBy("first_frame"))).select(F.col("first_frame").alias("g"), "source", "q", "length", F.explode(F.expr("sequence(0L, q - 1)")).alias("k"))
+    jobs = active.select("g", "source", "k", F.expr("k * length div q").alias("r"), F.expr("((k + 1) * length + q - 1) div q").alias("d"))
+    plan = scratch.cut(earliest_deadline_first(jobs, n_slots, scratch).withColumnRenamed("g", "first_frame"), "pattern")
+    all_frames = frames.select("frame").distinct().join(firsts, F.col("frame") == F.col("first_frame"), "left")
+    last = F.last("first_frame", ignorenulls=True).over(Window.orderBy("frame").rowsBetween(Window.unboundedPreceding, 0))
+    return plan.withColumn("slot", F.col("slot").cast("int")), scratch.cut(all_frames.select("frame", last.alias("first_frame")), "frames")
+
+
+def _by_weight(placed: DataFrame, sources: DataFrame, scratch: Scratch, slots: int, any_number: bool) -> DataFrame:
     n_blocks = sources.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
     plan = scratch.cut(earliest_deadline_first(exact_jobs(sources), n_blocks, scratch), "pattern")
     plan = plan.select("source", F.col("k").alias("block"), F.floor(F.col("slot") / slots).alias("frame"), (F.col("slot") % slots).cast("int").alias("slot"))
     return placed.join(plan, ["source", "block"])
 
 
-def _by_frames(placed: DataFrame, sources: DataFrame, scratch: Scratch, slots: int) -> DataFrame:
+def _by_frames(placed: DataFrame, sources: DataFrame, scratch: Scratch, slots: int, any_number: bool) -> DataFrame:
     n_sources, n_slots = sources.agg(F.count(F.lit(1)), F.coalesce(F.sum("quota"), F.lit(0))).first()
     if (2 * n_sources + 1) * n_slots > MAX_PATTERN or n_sources >= 100_000:
-        raise ValueError(f"{n_sources} sources: group the rare ones first")
+        if not any_number:
+            raise ValueError(f"{n_sources} sources: group the rare ones first, or ask for any number")
+        plan, frames = large_pattern(sources, n_slots, scratch)
+        placed = placed.join(sources.select("source", "quota"), "source")
+        placed = placed.withColumn("frame", F.expr("block div quota")).withColumn("k", F.expr("block % quota"))
+        return placed.join(frames, "frame").join(plan, ["first_frame", "source", "k"])
     plan = scratch.cut(pattern(sources), "pattern") if n_sources else pattern(sources)
     # Both of a size checked above.
     plan, per_source = F.broadcast(plan), F.broadcast(sources.select("source", "quota"))
@@ -154,7 +176,7 @@ def _by_frames(placed: DataFrame, sources: DataFrame, scratch: Scratch, slots: i
     return placed.join(plan, ["first_frame", "source", "k"])
 
 
-def mix(docs: DataFrame, scratch: Scratch, weights: dict[str, float] | None = None, block: int = BLOCK_DOCS, slots: int = FRAME_SLOTS, exact: bool = False) -> DataFrame:
+def mix(docs: DataFrame, scratch: Scratch, weights: dict[str, float] | None = None, block: int = BLOCK_DOCS, slots: int = FRAME_SLOTS, exact: bool = False, any_number: bool = False) -> DataFrame:
     """The place of every document in the mixture: doc_id, source, block, frame, slot, position.
 
     ``docs`` needs doc_id and source.  Nothing is dropped or repeated: when a
@@ -166,7 +188,9 @@ def mix(docs: DataFrame, scratch: Scratch, weights: dict[str, float] | None = No
     A source's ranks come from its 4096 buckets of md5, so no task holds a
     whole source, and positions from the frames, of ``slots`` blocks or so.
     ``exact`` keeps to the weights over all slots and takes any number of
-    sources; frames are then ``slots`` slots each.
+    sources; frames are then ``slots`` slots each.  Without it, sources whose
+    pattern is above MAX_PATTERN are refused, unless ``any_number`` has it
+    made as a table, with the same results.
     """
     docs = check_columns(docs, "doc_id", "source").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), _order(F.col("doc_id")).alias("h"))
     docs = docs.withColumn("bucket", F.substring("h", 1, 3))
@@ -177,7 +201,7 @@ def mix(docs: DataFrame, scratch: Scratch, weights: dict[str, float] | None = No
     rank = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id")) - 1
     placed = docs.withColumn("rank", rank).join(counts.select("source", "bucket", "before"), ["source", "bucket"])
     placed = placed.withColumn("rank", F.col("rank") + F.col("before")).withColumn("block", F.floor(F.col("rank") / block))
-    placed = (_by_weight if exact else _by_frames)(placed, sources, scratch, slots).select("doc_id", "source", "block", "frame", "slot", "rank")
+    placed = (_by_weight if exact else _by_frames)(placed, sources, scratch, slots, any_number).select("doc_id", "source", "block", "frame", "slot", "rank")
     placed = scratch.cut(placed, "placed")
 
     frames = placed.groupBy("frame").agg(F.count(F.lit(1)).alias("n"))

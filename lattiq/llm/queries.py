@@ -26,7 +26,7 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
+    return mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "op2"), any_number=True)
 
 
 def op3_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from fractions import Fraction
 import pytest
 from oracle import connect, expected, found
 
+from lattiq.llm import mixing
 from lattiq.llm.mixing import in_mixture_order, mix
 from lattiq.llm.queries import ORACLE_SQL, QUERIES
 
@@ -76,3 +77,20 @@ def test_exact_mixing_keeps_to_the_weights_over_many_frames(spark, scratch, weig
         v = lo + (t - used(lo)) / rate if rate else lo
         assert all(abs(seen[x] - min(Fraction(n), v * w[x])) < 1 + Fraction(1, 10**5) for x, n in sizes.items())
     assert mix(docs.limit(0), scratch.__class__(spark, "exact-empty"), exact=True).count() == 0
+
+
+def test_any_number_of_sources(spark, tmp_path, scratch, monkeypatch):
+    """The query takes 3000 sources, and the large path agrees with the small one and with SQL."""
+    many = spark.range(9000).selectExpr("id AS doc_id", "cast(id % 3000 AS string) AS source", "cast(null AS string) AS text")
+    many.union(spark.range(9000, 9400).selectExpr("id", "'0'", "null")).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sorted(QUERIES["op2_mixing"](spark, str(tmp_path)).collect(), key=lambda r: r["position"])
+    assert [r["position"] for r in rows] == list(range(9400)) and len({r["doc_id"] for r in rows}) == 9400
+    assert len({(r["frame"], r["slot"]) for r in rows}) == len({(r["source"], r["block"]) for r in rows})
+
+    sizes = {"a": 900, "b": 300, "c": 40, "d": 3}
+    docs = spark.createDataFrame([(1000 * i + j, s) for i, (s, n) in enumerate(sizes.items()) for j in range(n)], "doc_id long, source string")
+    few = {tuple(r) for r in mix(docs, scratch, block=2, slots=50).collect()}
+    monkeypatch.setattr(mixing, "MAX_PATTERN", 0)
+    assert {tuple(r) for r in mix(docs, scratch.__class__(spark, "large"), block=2, slots=50, any_number=True).collect()} == few
+    for sf in ("sf0.001", "sf0.1"):
+        assert found(QUERIES["op2_mixing"](spark, f"/root/testdata/{sf}")) == expected(connect(f"/root/testdata/{sf}"), ORACLE_SQL["op2_mixing"])
