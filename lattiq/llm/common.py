@@ -21,6 +21,9 @@ SLICE_CHARS = 1_000_000
 #: Bytes of an Arrow batch on its way to or from a Python worker; a single longer row is a batch of its own.
 BATCH_BYTES = 8 << 20
 
+#: Bytes of files that a reading task takes on, once there are more than tasks to fill the machine.
+TASK_BYTES = 128 << 20
+
 HOLD_OUT = 3
 
 
@@ -87,11 +90,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HOLD_OUT == 1, F.lit(False))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of batches of about SLICE_CHARS bytes of text, with their texts (null: empty).
-
-    Only a part's texts become Python strings at a time.
-    """
+def parts(batches: Iterator[pa.RecordBatch], text: str, limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The non-empty batches in parts of about ``limit`` (SLICE_CHARS) bytes of text; a longer row is a part of its own."""
+    limit = limit or SLICE_CHARS
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -100,12 +101,27 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Re
         start = 0
         while start < batch.num_rows:
             so_far = int(ends[start - 1]) if start else 0
-            n = max(1, int(np.searchsorted(ends, so_far + SLICE_CHARS, side="right")) - start)
-            part = batch.slice(start, n)
-            yield part, [t or "" for t in column.slice(start, n).to_pylist()]
+            n = max(1, int(np.searchsorted(ends, so_far + limit, side="right")) - start)
+            yield batch.slice(start, n)
             start += n
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """``parts`` with their texts (null: empty); only a part's texts become Python strings at a time."""
+    for part in parts(batches, text):
+        yield part, [t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]
+
+
+def dealt(df: DataFrame, n_rows: int, n_bytes: int) -> DataFrame:
+    """``df``, whose rows name pieces of files, dealt out by the bytes of those files.
+
+    A number of partitions that is given is not merged by adaptive execution,
+    which sees only the few bytes of the rows themselves.
+    """
+    n = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // TASK_BYTES))
+    return df.repartition(max(1, min(n_rows, n)))
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``df.mapInArrow`` in batches of bounded bytes: rows alone bound nothing where texts are long.
 
@@ -124,6 +140,16 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened until none is a column of ``df`` (whose names may differ in case alone)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def check_columns(df: DataFrame, *names: str) -> DataFrame:
     """df with these columns alone, so that others never clash with an operator's own."""
     missing = [n for n in names if n not in df.columns]

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -20,12 +19,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import Scratch, check_columns, map_arrow, slices
+from lattiq.llm.common import Scratch, check_columns, dealt, map_arrow, parts
 
 MAGIC = b"LQT1"
 #: A writer begins another shard beyond so many ids or documents.
@@ -33,8 +33,10 @@ SHARD_IDS, SHARD_DOCS = 1 << 25, 1 << 20
 #: Documents that a reading task takes from a shard at a time.
 READ_DOCS = 1 << 14
 SAMPLE = 256
+#: Bytes of text that are encoded at a time.
+ENCODE_BYTES = 4 << 20
 #: Chunks in each of the two generations that a worker remembers.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 600_000
 
 
 class EliasFano:
@@ -154,12 +156,23 @@ class Shard:
 class ChunkTokenizer:
     """The tokenizers library on whole texts, asked once for each distinct chunk.
 
-    Normalisers, split patterns and added tokens of the vocabularies in use
-    never reach across a blank or line feed, which the split drops, nor from a
-    letter or digit to a stop or comma before a blank.  So a text's ids are
-    those of its chunks in order.
+    A text is cut into chunks only where the library itself cuts:
+
+    - at blanks and line feeds.  They compose with nothing, stop marks from
+      being reordered, are dropped by the split, and no added token has one;
+    - before a stop or comma that a blank follows, if the sign before it is
+      one that the library, asked for each of LETTERS, makes one piece that
+      ends there.  A text with any other sign in such a place is cut at
+      blanks alone.
+
+    A-Z are written small first where that is what the library would do
+    anyway.  So a text's ids are those of its chunks in order, for vocabularies whose
+    split drops white space; others are refused.
     """
 
+    #: Signs that may stand before a stop or comma where a text is cut.
+    LETTERS = [chr(i) for i in range(0x21, 0x250)]
+
     def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -167,19 +180,31 @@ class ChunkTokenizer:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        pieces = lambda t: [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(t) if self.tok.normalizer else t)]
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        if pieces("a b\nc") != ["a", "b", "c"] or any(set(t) & set(" \n.,") for t in added):
+            raise ValueError(f"{path} does not drop white space")
         self.kind = f"<u{width}"
-        # A stop or comma after another sign, with which it may form one piece.
-        self.run = re.compile(r"(?:[^\w\s]|_)[.,]")
+        ends_piece = lambda c: all(pieces(x + c + s) == [*pieces(x + c), s] for x in ("", "a", "1", "\u00b7") for s in ".,")
+        self.closed = [c for c in self.LETTERS if c.isalnum() and ends_piece(c)]
+        # A blank, stop or comma elsewhere: there the sign before may be one piece with it.
+        self.open = "(?:^|[^" + "".join(self.closed) + "])[.,] "
+        # A-Z may become a-z before the library does that, but where a mark may compose or an added token be made.
+        self.lower = pieces("AZ") == ["az"] and all("<" in t for t in added)
+        self.keeps_case = "[^\\x00-\\x{24F}]|<"
         self.ends = np.zeros(self.tok.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _chunks(self, text: str) -> list[str]:
-        text = text.replace("\n", " ")
-        if not self.run.search(text):  # else a stop may belong to a longer piece
-            text = text.replace(", ", " , ").replace(". ", " . ")
-        return text.split(" ")
+    def _chunks(self, texts: pa.Array) -> pa.ListArray:
+        texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        if self.lower:
+            texts = pc.if_else(pc.match_substring_regex(texts, self.keeps_case), texts, pc.ascii_lower(texts))
+        cut = texts
+        for s in ".,":
+            cut = pc.replace_substring(cut, s + " ", f" {s} ")
+        return pc.split_pattern(pc.if_else(pc.match_substring_regex(texts, self.open), texts, cut), " ")
 
     def _encode(self, chunks: list[str]):
         """(chunk, ids) of chunks; plain words go many at a time, told apart by their tokens' word ends."""
@@ -196,20 +221,31 @@ class ChunkTokenizer:
         for c, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False)):
             yield c, np.array(e.ids, self.kind).tobytes()
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        cut = [self._chunks(t) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.older, self.known = self.known, {}
-        known, older, fresh, long = self.known, self.older, [], {}
-        for c in set().union(*cut) - known.keys():
-            if c in older:
-                known[c] = older[c]
-            else:
-                fresh.append(c)
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where each text's end."""
+        cut = self._chunks(texts)
+        chunks = cut.flatten().dictionary_encode()
+        distinct, known, older, long = chunks.dictionary.to_pylist(), self.known, self.older, {}
+        if len(known) > CACHE_WORDS:
+            older, known = self.older, self.known = known, {}
+        fresh = []
+        for c in distinct:
+            if c not in known:
+                if c in older:
+                    known[c] = older[c]
+                else:
+                    fresh.append(c)
         for c, ids in self._encode(fresh):
             (known if len(c) <= 64 else long)[c] = ids
-        get = known.__getitem__ if not long else lambda c: known[c] if c in known else long[c]
-        return [b"".join(map(get, cs)) for cs in cut]
+        found = [known[c] if c in known else long[c] for c in distinct]
+        pool = np.frombuffer(b"".join(found), self.kind)
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // np.dtype(self.kind).itemsize
+        lengths = np.diff(ends, prepend=0)
+        at = chunks.indices.to_numpy(zero_copy_only=False)
+        each = lengths[at]
+        upto = np.r_[0, np.cumsum(each)]
+        ids = pool[np.repeat((ends - lengths)[at] - upto[:-1], each) + np.arange(upto[-1])]
+        return ids, upto[cut.offsets.to_numpy()[1:] - cut.offsets[0].as_py()]
 
 
 @lru_cache(maxsize=2)
@@ -234,11 +270,14 @@ def write_tokens(docs: DataFrame, scratch: Scratch, vocabulary: str, end_id: int
         tok, part, seq, shard = _tokenizer(vocabulary, width), TaskContext.get().partitionId(), 0, None
         end = np.array([end_id], f"<u{width}").tobytes()
         done = []
-        for batch, texts in slices(batches, "text"):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), tok.encode_batch(texts)):
+        for batch in parts(batches, "text", ENCODE_BYTES):
+            ids, ends = tok.encode_batch(batch.column(1))
+            start = 0
+            for doc_id, to in zip(batch.column(0).to_pylist(), ends.tolist()):
                 if shard is None:
                     shard = ShardWriter(f"{folder}/{part:06d}-{seq:05d}-{uuid.uuid4().hex}.ids", width)
-                shard.add(doc_id, ids + end)
+                shard.add(doc_id, ids[start:to].tobytes() + end)
+                start = to
                 if shard.total >= SHARD_IDS or len(shard.ends) >= SHARD_DOCS:
                     done.append((part, seq, *shard.close()))
                     shard, seq = None, seq + 1
@@ -247,7 +286,9 @@ def write_tokens(docs: DataFrame, scratch: Scratch, vocabulary: str, end_id: int
         yield pa.RecordBatch.from_pylist([dict(zip(("part", "seq", "path", "n_docs", "n_tokens"), d)) for d in done], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     docs = check_columns(docs, "doc_id", "text")
-    docs = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Rows of one (or no) doc_id are dealt by how their texts begin, and sorted by whole texts.
+    first = F.col("doc_id").asc_nulls_first()
+    docs = docs.repartitionByRange(first, F.substring("text", 1, 32)).sortWithinPartitions(first, "text")
     return scratch.cut(map_arrow(docs, run, "part int, seq int, path string, n_docs long, n_tokens long"), "manifest")
 
 
@@ -255,11 +296,14 @@ def read_tokens(manifest: DataFrame, keep_ids: bool = False) -> DataFrame:
     """Reads shards back: doc_id, start, n_tokens, ids_crc32, with ``keep_ids`` also ids.
 
     ``start`` counts the ids of all documents before it.  The manifest has a
-    row for each shard; a shard is read in parts of READ_DOCS documents.
+    row for each shard; a shard is read in parts of READ_DOCS documents, which
+    are dealt to tasks by the bytes of all shards.
     """
     before = F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    parts = manifest.select("path", "n_docs", F.coalesce(before, F.lit(0)).alias("base"))
-    parts = parts.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(READ_DOCS).cast("long")))).repartition("path", "first")
+    pieces = manifest.select("path", "n_docs", F.coalesce(before, F.lit(0)).alias("base"))
+    pieces = pieces.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(READ_DOCS).cast("long"))))
+    n_parts, n_ids = manifest.agg(F.sum(F.ceil(F.col("n_docs") / READ_DOCS)), F.sum("n_tokens")).first()
+    pieces = dealt(pieces, n_parts or 0, 4 * (n_ids or 0))
 
     def run(batches):
         for batch in batches:
@@ -276,4 +320,4 @@ def read_tokens(manifest: DataFrame, keep_ids: bool = False) -> DataFrame:
                 shard.close()
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * keep_ids))
 
-    return map_arrow(parts, run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids)
+    return map_arrow(pieces, run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids)

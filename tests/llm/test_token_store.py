@@ -3,12 +3,13 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lattiq.llm.token_store import EliasFano, Shard, read_tokens, write_tokens
+from lattiq.llm.token_store import ChunkTokenizer, EliasFano, Shard, read_tokens, write_tokens
 
 
 @given(st.lists(st.integers(0, 1 << 40), max_size=700))
@@ -67,3 +68,40 @@ def test_random_access(spark, scratch, word_bpe):
             (key, start, ids), want = next(shard.documents(at, at + 1)), whole[at]
             assert (key, start, ids.tolist()) == (want[0], want[1], want[2].tolist())
         shard.close()
+
+
+SIGNS = [*"aéİıßΣσς.,'’sSt \n\t12٣½²①Ⅷ\x1c\x1d\x1e\x1f\x85\xa0　̣́̇̀िा्क<|>_-ª·ºµKÅΩ각ͅ\xad‍", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", ". ", ", ", "İ. ", "H̱, ", "a. ", "'S, "]
+
+
+@pytest.fixture(scope="module")
+def both(word_bpe):
+    tok = Tokenizer.from_file(word_bpe)
+    tok.no_truncation(), tok.no_padding()
+    return ChunkTokenizer(word_bpe, 2), tok
+
+
+@given(texts=st.lists(st.one_of(st.lists(st.sampled_from(SIGNS), max_size=14).map("".join), st.text(max_size=30)), min_size=1, max_size=40))
+@settings(max_examples=150, deadline=None)
+def test_any_text(both, texts):
+    ours, tok = both
+    texts = [t.encode("utf-8", "replace").decode() for t in texts]
+    ids, ends = ours.encode_batch(pa.array([*texts, None], pa.string()))
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [*(tok.encode(t, add_special_tokens=False).ids for t in texts), []]
+
+
+@pytest.mark.parametrize("text", ["İ. Melih", "Prof. İ. Ortaylı", "a\x1f, b", "a\x1c. b\x1d, c\x1e, d", "½, x", "é, x é. ", ".. , a., b,. c", ", a", "A̱. B"])
+def test_stops_and_marks(both, text):
+    ours, tok = both
+    assert ours.encode_batch(pa.array([text]))[0].tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_vocabularies_that_keep_white_space_are_refused(byte_bpe):
+    with pytest.raises(ValueError):
+        ChunkTokenizer(byte_bpe, 2)
+
+
+def test_reading_is_dealt_by_the_bytes_of_shards(spark, tmp_path, monkeypatch):
+    """Pieces of 40 large shards, which are a few rows, go to as many tasks as their ids ask for."""
+    rows = [(0, i, f"{tmp_path}/{i}", 1 << 20, 1 << 25) for i in range(40)]
+    manifest = spark.createDataFrame(rows, "part int, seq int, path string, n_docs long, n_tokens long")
+    assert read_tokens(manifest).rdd.getNumPartitions() >= 40
