@@ -18,7 +18,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import Scratch, check_columns, map_arrow
+from lattiq.llm.common import Scratch, check_columns, dealt, map_arrow
 
 MAGIC = b"\x1f\x8b\x08"
 #: A writer begins another archive beyond so many bytes.
@@ -163,14 +163,16 @@ def write_archives(pages: DataFrame, scratch: Scratch, date: str = "1970-01-01T0
 
 
 def read_archives(manifest: DataFrame, keep_payload: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Reads archives back in byte ranges: page_id, payload_bytes, payload_digest, record_type, refers_to, url.
+    """Reads archives back in byte ranges, dealt to tasks by the archives' bytes: page_id, payload_bytes, payload_digest, record_type, refers_to, url.
 
     A response's digest is computed from the payload read and must agree with
     its header; a revisit has both from its headers.  With ``keep_payload``
     also payload (null for revisits).  Bytes that are no member with a WARC
     record are passed over.
     """
-    ranges = manifest.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start")).repartition("path", "start")
+    ranges = manifest.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
+    n_ranges, n_bytes = manifest.agg(F.sum(F.ceil(F.col("bytes") / range_bytes)), F.sum("bytes")).first()
+    ranges = dealt(ranges, n_ranges or 0, n_bytes or 0)
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"] + ["payload"] * keep_payload
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())] + [("payload", pa.binary())] * keep_payload)
 

@@ -34,3 +34,17 @@ def test_odd_pages(spark, scratch):
     got = sorted((tuple(r) for r in warc.read_archives(manifest, keep_payload=True, range_bytes=777).select("page_id", "payload_bytes", "record_type", "refers_to").collect()), key=repr)
     assert got == sorted([(1, 4, "revisit", 2), (2, 4, "response", None), (2, 4, "response", None), (3, 0, "revisit", 4), (4, 0, "response", None), (None, 4, "revisit", 2), (None, 4, "response", None), (9, 600_000, "response", None)], key=repr)
     assert warc.read_archives(warc.write_archives(pages.limit(0), scratch.__class__(spark, "none"))).count() == 0
+
+
+def test_ranges_are_dealt_by_the_bytes_of_archives(spark):
+    """50 GB of archives: 6400 ranges, which are a few rows, are read by many tasks, each with a few of them."""
+    manifest = spark.createDataFrame([(f"file:///none/{i}", 256 << 20, 1) for i in range(200)], "path string, bytes long, records long")
+    asked = []
+    of = warc.map_arrow
+    try:
+        warc.map_arrow = lambda df, fn, schema: asked.append(df) or of(df, fn, schema)
+        warc.read_archives(manifest)
+    finally:
+        warc.map_arrow = of
+    tasks = [r["count"] for r in asked[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 6400 and len(tasks) >= 400 and max(tasks) <= 32
