@@ -3,7 +3,8 @@
 HTML parsing yields, for each document, an ordered array of structs that are
 either text or a reference to media by digest; captions and positions stay
 with their reference.  A join by digest resolves references against a store
-of media, in which media are 8-bit mono samples in RIFF/WAVE form.
+of media, in which media are 8-bit mono samples in RIFF/WAVE form, and
+``assemble`` puts what it finds back into the sequences, in place.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import Scratch, check_columns, map_arrow, slices
+from lattiq.llm.common import Scratch, check_columns, fresh, map_arrow, slices
 
 UNIT = 64
 RATE = 8000
@@ -99,21 +100,22 @@ def sequence(page: str) -> list[dict]:
     return [{"position": i} | x for i, x in enumerate(parser.items)]
 
 
-def parse_sequences(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key and ``sequence`` for each row; a null or empty page has an empty sequence.
+def parse_sequences(pages: DataFrame, key: str = "page_id", html: str = "html", carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, ``sequence`` and the columns in ``carry`` for each row; a null or empty page has an empty sequence.
 
     A figcaption goes to all media of its figure, whether it comes before or
     after them; else an alt text is the caption.  ``digest`` is null for
     references elsewhere, whose address is in ``text``.
     """
-    kind = pages.schema[key].dataType
+    kinds = "".join(f", c{i} {pages.schema[c].dataType.simpleString()}" for i, c in enumerate((key, *carry)))
 
     def run(batches):
         for batch, texts in slices(batches, "html"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sequence(t) for t in texts], pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])))], ["key", "sequence"])
+            found = pa.array([sequence(t) for t in texts], pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])))
+            yield pa.RecordBatch.from_arrays([found, *batch.columns[1:]], ["sequence", *(f"c{i}" for i in range(len(batch.columns) - 1))])
 
-    found = map_arrow(pages.select(F.col(key).alias("key"), F.col(html).alias("html")), run, f"key {kind.simpleString()}, sequence {SEQUENCE}")
-    return found.withColumnRenamed("key", key)
+    found = map_arrow(pages.select(F.col(html).alias("html"), *(F.col(c).alias(f"c{i}") for i, c in enumerate((key, *carry)))), run, f"sequence {SEQUENCE}{kinds}")
+    return found.select(F.col("c0").alias(key), "sequence", *(F.col(f"c{i + 1}").alias(c) for i, c in enumerate(carry)))
 
 
 def wave(payload: bytes) -> bytes:
@@ -146,33 +148,48 @@ def describe(payload: bytes) -> str:
     return f"mean={int(x.sum()) * 1000 // n};energy={int((x * x).sum()) // n};crossings={crossings * 1000 // n};flux={int(np.abs(d).sum()) * 1000 // n};levels={int((hist > 0).sum())};bands={'/'.join(map(str, bands))}"
 
 
+def stored(text: str | None) -> tuple[int, bytes]:
+    """A text's bytes in UTF-8 (null: none), and these as media: with bytes 0 appended up to a positive multiple of UNIT."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return len(raw), wave(raw.ljust(max(UNIT, -(-len(raw) // UNIT) * UNIT), b"\0"))
+
+
 def store_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Stores each text as media and a page that refers to it.
+    """Stores each text (null: empty) as media.  Returns the table written: doc_id, digest, media."""
 
-    The payload is the text (null: empty) in UTF-8 with bytes 0 appended up to
-    a positive multiple of 64.  Returns the table written: doc_id, n_bytes,
-    page, digest, media.
-    """
+    def run(batches):
+        for batch, texts in slices(batches, "text"):
+            media = [stored(t)[1] for t in texts]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "digest": pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()), "media": pa.array(media, pa.binary())})
+
+    return scratch.cut(map_arrow(check_columns(docs, "doc_id", "text"), run, "doc_id long, digest string, media binary"), "store")
+
+
+def page(doc_id: int | None, text: str) -> tuple[int, str]:
+    """A text's bytes, and the page that has all its lines as paragraphs and, after the first, a figure of its stored form."""
+    n, media = stored(text)
+    first, *others = (f"<p>{htmllib.escape(x)}</p>" for x in text.split("\n"))
+    figure = f'<figure><audio src="{SCHEME}{hashlib.sha256(media).hexdigest()}"></audio><figcaption>document {doc_id}</figcaption></figure>'
+    return n, "".join(("<article>", first, figure, *others, "</article>"))
+
+
+def pages_of(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, page of each row: the whole text around the figure of its media."""
 
     def run(batches):
         for batch, texts in slices(batches, "text"):
-            n, pages, digests, media = [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts):
-                raw = text.encode("utf-8", "surrogatepass")
-                stored = wave(raw.ljust(max(UNIT, -(-len(raw) // UNIT) * UNIT), b"\0"))
-                digest = hashlib.sha256(stored).hexdigest()
-                lead = htmllib.escape(text[:80])
-                n.append(len(raw))
-                digests.append(digest)
-                media.append(stored)
-                pages.append(f'<article><p>{lead}</p><figure><audio src="{SCHEME}{digest}"></audio><figcaption>document {doc_id}, {len(raw)} bytes</figcaption></figure></article>')
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_bytes": pa.array(n, pa.int64()), "page": pa.array(pages, pa.string()), "digest": pa.array(digests, pa.string()), "media": pa.array(media, pa.binary())})
+            made = [page(i, t) for i, t in zip(batch.column(0).to_pylist(), texts)]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_bytes": pa.array([n for n, _ in made], pa.int64()), "page": pa.array([p for _, p in made], pa.string())})
 
-    return scratch.cut(map_arrow(check_columns(docs, "doc_id", "text"), run, "doc_id long, n_bytes long, page string, digest string, media binary"), "store")
+    return map_arrow(check_columns(docs, "doc_id", "text"), run, "doc_id long, n_bytes long, page string")
 
 
 def describe_media(store: DataFrame) -> DataFrame:
-    """Reads stored media back: digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; one row a digest."""
+    """Reads stored media back: digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; one row a digest.
+
+    Media whose digest is not theirs raise an error; rows that repeat a digest
+    are one, and an empty store gives none.
+    """
 
     def run(batches):
         for batch in batches:
@@ -193,12 +210,29 @@ def describe_media(store: DataFrame) -> DataFrame:
 
 
 def resolve(sequences: DataFrame, key: str, media: DataFrame) -> DataFrame:
-    """Joins references with described media by digest: key, position, caption and the media's columns.
+    """Joins references with described media by digest: key, position, caption, the columns beside the sequence and the media's.
 
     References keep their order and captions; those with no media in the
     store have nulls.  ``media`` should be a written table: both sides then
     have exchanges of their own, and a digest with very many references is
     split between tasks.
     """
-    refs = sequences.select(key, F.explode("sequence").alias("x")).filter("x.kind = 'media'").select(key, F.col("x.position").alias("position"), F.col("x.caption").alias("caption"), F.col("x.digest").alias("digest"))
+    others = [c for c in sequences.columns if c not in (key, "sequence")]
+    refs = sequences.select(key, *others, F.explode("sequence").alias("x")).filter("x.kind = 'media'").select(key, *others, F.col("x.position").alias("position"), F.col("x.caption").alias("caption"), F.col("x.digest").alias("digest"))
     return refs.join(media, "digest", "left")
+
+
+def assemble(sequences: DataFrame, media: DataFrame) -> DataFrame:
+    """``sequences``, all rows and columns, each item of ``sequence`` with ``media``: its described media, or null.
+
+    Items keep position, text and caption.  Rows alike in every column are
+    one in the join, and each gets its media.
+    """
+    row, at, known = fresh(sequences, "row", "at", "known")
+    digests = sequences.withColumn(row, F.sha2(F.to_json(F.struct(*sequences.columns)).cast("binary"), 256))
+    refs = digests.select(row, F.explode("sequence").alias("x")).filter("x.digest IS NOT NULL").select(row, F.col("x.position").alias("position"), F.col("x.digest").alias("digest")).distinct()
+    found = refs.join(media.select("digest", F.struct(*[c for c in media.columns if c != "digest"]).alias("media")), "digest")
+    found = found.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("position", "media"))).alias(known)).withColumnRenamed(row, at)
+    items = F.transform("sequence", lambda x: x.withField("media", F.try_element_at(F.col(known), x["position"])))
+    whole = digests.join(found, digests[row] == found[at], "left")
+    return whole.select(*(items.alias(c) if c == "sequence" else whole[c] for c in sequences.columns))

@@ -30,12 +30,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "op3")
-    store = interleave.store_texts(table(spark, sf_dir, "documents"), scratch)
-    media = scratch.cut(interleave.describe_media(store), "described")
-    pages = interleave.parse_sequences(store, "doc_id", "page")
-    found = interleave.resolve(pages, "doc_id", media).select("doc_id", F.regexp_extract("caption", r", (\d+) bytes$", 1).cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
-    return found
+    scratch, docs = Scratch(spark, "op3"), table(spark, sf_dir, "documents")
+    media = scratch.cut(interleave.describe_media(interleave.store_texts(docs, scratch)), "described")
+    found = interleave.parse_sequences(interleave.pages_of(docs), "doc_id", "page", carry=("n_bytes",))
+    # The texts of a sequence in order, told by count and digest; only these go through the join.
+    texts = F.filter("sequence", lambda x: x["kind"] == "text")
+    found = found.withColumns({"n_items": F.size("sequence").cast("long"), "texts_sha256": F.sha2(F.encode(F.array_join(F.transform(texts, lambda x: x["text"]), "\n"), "UTF-8"), 256)})
+    found = interleave.resolve(found, "doc_id", media)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items", "texts_sha256")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
