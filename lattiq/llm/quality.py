@@ -2,7 +2,8 @@
 
 A document becomes a sparse vector x: hashed words weighted by the logarithm
 of their counts and scaled to length one, structure statistics, and one
-indicator for the bin of each statistic.  The machine scores
+indicator for the bin of each statistic and of each column of metadata (one
+more for a null).  The machine scores
 
     w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j,
 
@@ -27,7 +28,10 @@ BINS = 16
 STATS = ("log_words", "mean_word", "upper", "letters", "digits", "blanks", "symbols", "bangs", "distinct", "top_word", "line_words", "repeated_lines", "odd_ends", "lone_symbols", "repeated_pairs", "stop_share")
 #: Upper ends of the statistics' ranges, for bins and scale.
 RANGES = np.array([10.0, 12, 1, 1, 0.3, 0.4, 0.4, 0.3, 1, 0.5, 60, 1, 1, 0.5, 1, 1])
-SIZE = (1 << WORD_BITS) + len(STATS) * (BINS + 1)
+#: Columns of metadata that a model can take, and the bins of each: its value's power of two, 0 for none, the last for a null.
+MAX_META, META_BINS = 4, 34
+META = (1 << WORD_BITS) + len(STATS) * (BINS + 1)
+SIZE = META + MAX_META * META_BINS
 RANK = 8
 #: Labelled rows, chosen by a hash of doc_id, that a model is fitted on at most.
 TRAIN_ROWS = 6000
@@ -74,8 +78,11 @@ def statistics(text: str, words: list[str], counts: Counter) -> list[float]:
     ]
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values of a document's vector; never empty, also for an empty text."""
+def features(text: str, metadata: tuple = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and values of a document's vector; never empty, also for an empty text.
+
+    ``metadata`` are numbers (negative ones count as 0) or None.
+    """
     words = text.split()
     counts = Counter(words)
     idx = np.fromiter(map(_bucket, counts), np.int64, len(counts))
@@ -85,12 +92,18 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     scaled = np.clip(np.array(statistics(text, words, counts)) / RANGES, 0, 1)
     base = (1 << WORD_BITS) + np.arange(len(STATS)) * (BINS + 1)
     bins = np.minimum((scaled * BINS).astype(np.int64), BINS - 1)
-    return np.concatenate([idx, base, base + 1 + bins]), np.concatenate([val, scaled, np.full(len(STATS), 0.5)])
+    meta = np.array([META + i * META_BINS + (META_BINS - 1 if x is None or x != x else int(max(0, min(x, 2.0**32 - 1))).bit_length()) for i, x in enumerate(metadata)], np.int64)
+    return np.concatenate([idx, base, base + 1 + bins, meta]), np.concatenate([val, scaled, np.full(len(STATS) + len(meta), 0.5)])
+
+
+def _vectors(batch: pa.RecordBatch, texts: list[str], metadata: tuple[str, ...]):
+    columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in metadata]
+    return (features(t, m) for t, *m in zip(texts, *columns))
 
 
 class FactorisationMachine:
-    def __init__(self, bias: float, weights: np.ndarray, factors: np.ndarray):
-        self.bias, self.weights, self.factors = bias, weights, factors
+    def __init__(self, bias: float, weights: np.ndarray, factors: np.ndarray, metadata: tuple[str, ...] = ()):
+        self.bias, self.weights, self.factors, self.metadata = bias, weights, factors, metadata
 
     @classmethod
     def constant(cls, share: float) -> FactorisationMachine:
@@ -101,8 +114,8 @@ class FactorisationMachine:
         sums = val @ v
         return float(self.bias + self.weights[idx] @ val + 0.5 * (sums @ sums - (val * val) @ (v * v).sum(1)))
 
-    def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.margin(*features(text)), -30, 30))))
+    def score(self, idx: np.ndarray, val: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.margin(idx, val), -30, 30))))
 
     @classmethod
     def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 6, rate: float = 0.08, seed: int = 7) -> FactorisationMachine:
@@ -132,56 +145,68 @@ class FactorisationMachine:
         return cls(float(b), w.astype(np.float32), v.astype(np.float32))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = TRAIN_ROWS, learn: Column | None = None) -> FactorisationMachine:
-    """Fits on up to ``max_rows`` labelled rows (bounded and documented), whole texts each.
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = TRAIN_ROWS, learn: Column | None = None, metadata: tuple[str, ...] = ("n_chars",)) -> FactorisationMachine:
+    """Fits on up to ``max_rows`` labelled documents (bounded and documented), whole texts each.
 
-    The rows are those whose doc_id has the smallest crc32, so the choice does
-    not depend on the order of the table.  Only rows where ``learn`` holds are
-    taken; by default those that are not held out.  Null labels and labels
-    without a document are passed over; with no row, or one label alone, the
-    model is that label's smoothed share.
+    The documents are those whose doc_id has the smallest crc32, so the choice
+    does not depend on the order of the table.  Only rows where ``learn``
+    holds are taken; by default those that are not held out.  Null labels and
+    labels without a document are passed over; of rows that share a doc_id the
+    least counts.  With no row, or one label alone, the model is that label's
+    smoothed share.  ``metadata`` are columns of numbers, at most MAX_META.
     """
+    if len(metadata) > MAX_META:
+        raise ValueError(f"more than {MAX_META} columns of metadata")
     learn = ~held_out(F.col("doc_id")) if learn is None else learn
     labelled = check_columns(labels, "doc_id", label).filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & learn)
-    chosen = labelled.select("doc_id", F.col(label).cast("int").alias("y")).orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id", "y").limit(max_rows)
+    labelled = labelled.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"))
+    chosen = labelled.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(max_rows)
     # At most max_rows ids: of a proven size, so they may be sent to every task.
-    rows = check_columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = check_columns(docs, "doc_id", "text", *metadata).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("y", "text", *metadata)).alias("row")).select("doc_id", "row.*")
 
     def run(batches):
         for batch, texts in slices(batches, "text"):
-            got = [features(t) for t in texts]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "y": batch.column(2), "idx": pa.array([i.astype(np.int32) for i, _ in got], pa.list_(pa.int32())), "val": pa.array([v.astype(np.float32) for _, v in got], pa.list_(pa.float32()))})
+            got = list(_vectors(batch, texts, metadata))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "y": batch.column(1), "idx": pa.array([i.astype(np.int32) for i, _ in got], pa.list_(pa.int32())), "val": pa.array([v.astype(np.float32) for _, v in got], pa.list_(pa.float32()))})
 
-    found = map_arrow(rows.select("doc_id", "text", "y"), run, "doc_id long, y int, idx array<int>, val array<float>").toArrow()
-    order = np.lexsort((found["y"].to_numpy(), found["doc_id"].to_numpy())) if found.num_rows else []
+    found = map_arrow(rows, run, "doc_id long, y int, idx array<int>, val array<float>").toArrow()
+    order = np.argsort(found["doc_id"].to_numpy()) if found.num_rows else []
     idx, val, y = found["idx"].combine_chunks(), found["val"].combine_chunks(), found["y"].to_numpy()
-    return FactorisationMachine.fit([(np.asarray(idx[int(i)].values, np.int64), np.asarray(val[int(i)].values, np.float64)) for i in order], np.array([y[i] for i in order]))
+    model = FactorisationMachine.fit([(np.asarray(idx[int(i)].values, np.int64), np.asarray(val[int(i)].values, np.float64)) for i in order], np.array([y[i] for i in order]))
+    model.metadata = tuple(metadata)
+    return model
 
 
 def score_quality(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
-    """doc_id, score of each row; null and empty texts are scored by their statistics.
+    """doc_id, score of each row; null and empty texts are scored by their statistics and metadata.
 
     The model is of fixed size (SIZE times RANK + 1 floats) and sent to the
-    tasks once each.
+    tasks once each.  An empty table gives no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights, model.factors))
+    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights, model.factors, model.metadata))
 
     def run(batches):
-        fm = FactorisationMachine(*model.value)
+        fm = FactorisationMachine(*sent.value)
         for batch, texts in slices(batches, "text"):
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array([fm.score(t) for t in texts], pa.float64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array([fm.score(*x) for x in _vectors(batch, texts, fm.metadata)], pa.float64())})
 
-    return map_arrow(check_columns(docs, "doc_id", "text"), run, "doc_id long, score double")
+    return map_arrow(check_columns(docs, "doc_id", "text", *model.metadata), run, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: FactorisationMachine, at_least: float = 0.5) -> DataFrame:
-    """``docs``, all columns, without the rows that score below ``at_least``."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model.bias, model.weights, model.factors))
+    """``docs``, all columns, without the rows that score below ``at_least``.
+
+    Each row is scored by itself: null and empty texts by their statistics and
+    metadata, repeated rows alike, rows without doc_id like others.  Columns
+    of any name are left alone, and an empty table gives none.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights, model.factors, model.metadata))
+    check_columns(docs, "text", *model.metadata)
 
     def run(batches):
         fm = FactorisationMachine(*sent.value)
         for batch, texts in slices(batches, "text"):
-            yield batch.filter(pa.array([fm.score(t) >= at_least for t in texts]))
+            yield batch.filter(pa.array([fm.score(*x) >= at_least for x in _vectors(batch, texts, fm.metadata)], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)

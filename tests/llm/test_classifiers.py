@@ -73,3 +73,38 @@ def test_labels_of_held_out_rows_change_nothing(spark):
     turned = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = quality.fit_quality(docs, labels), quality.fit_quality(docs, turned)
     assert a.bias == b.bias and (a.weights == b.weights).all() and (a.factors == b.factors).all()
+
+
+@pytest.mark.parametrize("text", ["½", "²", "① Ⅷ", "12 345", "\u0301", "!?", "  \n", "\u200d"])
+def test_no_letter_is_no_language(spark, odd_docs, text):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [tuple(r) for r in langid.identify(docs, langid.learn_profiles(odd_docs)).collect()] == [(1, "und", 0.0)]
+
+
+def test_words_keep_their_marks():
+    tell = lambda t: {"".join(map(chr, (g >> 42, g >> 21 & 0x1FFFFF, g & 0x1FFFFF))) for g in langid.trigrams(t)[0].tolist()}
+    assert tell("कि") == {" कि", "कि "} and tell("A-b 7c") == {" a ", "a b", " b ", "b c", " c "}
+    assert tell("é") == tell("É") and tell("\u0301a") == {" a "}
+
+
+def test_ties_go_to_the_first_language():
+    v = np.ones((2, langid.DIM))
+    assert langid.Profiles(["de", "en"], v).predict("abc") == ("de", 0.5)
+    assert langid.Profiles(["xx"], v[:1]).predict("abc") == ("xx", 1.0)
+
+
+def test_metadata_is_scored():
+    """A label that only the metadata tell."""
+    rows = [quality.features("same words", (10 if i % 2 else 100_000,)) for i in range(200)]
+    fm = quality.FactorisationMachine.fit(rows, np.arange(200) % 2)
+    assert fm.score(*quality.features("same words", (12,))) > 0.9 and fm.score(*quality.features("same words", (90_000,))) < 0.1
+    for x in (None, float("nan"), -5, 2**70, 0, 0.5):
+        idx, val = quality.features("", (x, x))
+        assert idx.max() < quality.SIZE and len(idx) == len(val) and 0 <= fm.score(idx, val) <= 1
+
+
+def test_rows_that_share_an_id_are_one_to_learn_from(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 5} text", i) for i in range(40)] * 2, "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once, twice = quality.fit_quality(docs.distinct(), labels), quality.fit_quality(docs, labels.union(labels))
+    assert once.bias == twice.bias and (once.weights == twice.weights).all()
