@@ -69,7 +69,10 @@ class QuotientFilter:
         last = np.r_[quotient[1:] != quotient[:-1], True] if len(keys) else np.zeros(0, bool)
         run_ends[(at + width - 1)[last]] = 1
         occupied[quotient] = 1
-        packed = np.packbits(((slots[:, None] >> np.arange(r, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8), bitorder="little")
+        table = np.empty((n, r), np.uint8)
+        for i in range(r):
+            table[:, i] = (slots >> np.uint64(i)) & np.uint64(1)
+        packed = np.packbits(table, bitorder="little")
         return cls(bits, q, n, *(np.packbits(x, bitorder="little") for x in (occupied, run_ends, digits)), packed)
 
     @staticmethod
@@ -84,7 +87,10 @@ class QuotientFilter:
         starts = np.maximum(quotients, np.r_[0, ends[:-1] + 1]) if len(ends) else ends
         length = ends - starts + 1
         used = np.repeat(starts - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-        value = bits(self.slots, n * r).reshape(n, r)[used].astype(np.uint64) @ (np.uint64(1) << np.arange(r, dtype=np.uint64))
+        table, value = bits(self.slots, n * r).reshape(n, r), np.zeros(n, np.uint64)
+        for i in range(r):
+            value |= table[:, i].astype(np.uint64) << np.uint64(i)
+        value = value[used]
         digit = bits(self.digits, n)[used].astype(bool)
         first = np.flatnonzero(~digit)
         keys = (np.repeat(quotients, length)[first].astype(np.uint64) << np.uint64(r) if r < 64 else np.uint64(0)) | value[first]
