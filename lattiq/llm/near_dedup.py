@@ -14,8 +14,15 @@ No group of candidates is ever expanded into pairs to be linked.  Documents
 with the same set are one node.  In each bucket the node that shares most
 buckets is the hub, all others are compared with it, and confirmed links make
 components.  What is left are pairs of different components that share a
-bucket; buckets where there are any are cut into blocks, and pairs of blocks
-compare their sketches and give only pairs that may be similar.
+bucket.  Open buckets, where there are any, of up to BLOCK nodes compare their
+nodes' sketches and give only pairs that may be similar.  Of larger ones, say
+of pages that share a frame but not what is in it, the nodes go by the rarest
+shingles of their sets instead: of similar sets, the share of each that may
+differ and one shingle more always have one in common, by any one order of
+shingles.  Sets whose own shingles are that many have no partner and give no
+rows; the others meet in the buckets of those shingles.  Should such a bucket
+again have more than BLOCK nodes, it is cut into blocks, and only nodes
+outside its largest component are sent to the others.
 
 Joins of sides that grow with the data are merge joins at every size.
 """
@@ -31,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import Scratch, check_columns, map_arrow, slices
+from lattiq.llm.common import Scratch, check_columns, fresh, map_arrow, slices
 
 WORDS = 5
 K, ROWS = 128, 4
@@ -227,60 +234,52 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, percent: int, scratch: Scratc
 def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of different components that share a bucket and may be similar by their sketches.
 
-    rows: key, node, comp, n, fine, regs, chunks.  A node meets the nodes of
-    its own and all other blocks of its bucket, and within a pair of blocks
-    only pairs that may be similar are given.  Pairs that share several
-    buckets are given by the one of their first common band alone; where that
-    bucket has no other nodes, its hub has been compared already.
+    rows: key, node, comp, main (the bucket's largest component), n, fine,
+    chunks.  All nodes stay in their own block of a bucket, those of other
+    components than the main one are sent to its other blocks as well.  A
+    pair may be given by several buckets.
     """
     own = F.pmod(F.xxhash64("node"), F.col("chunks"))
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "fine", "regs")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
+    visits = F.when(F.col("comp") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    rows = rows.withColumn("own", own).withColumn("block", F.explode(visits))
+    rows = rows.select("key", "block", (F.col("own") == F.col("block")).alias("home"), (F.col("comp") == F.col("main")).alias("main"), "node", "comp", "n", "fine")
+    rows = rows.repartition("key", "block").sortWithinPartitions("key", "block")
 
-    def pairs_of(key, i, j, own, node, comp, n, fine, regs):
+    def pairs_of(home, main, node, comp, n, fine):
         x = np.frombuffer(b"".join(fine), np.uint8).reshape(len(node), FINE)
-        bands = np.frombuffer(b"".join(regs), np.uint64).reshape(len(node), K // ROWS)
-        band = int(np.flatnonzero(band_keys(np.frombuffer(regs[0], np.uint16)) == key)[0])
-        first = np.flatnonzero(own == i) if i != j else np.arange(len(node))
-        second = np.flatnonzero(own == j) if i != j else first
-        for p in first.tolist():
-            q = second[second > p] if i == j else second
-            q = q[comp[q] != comp[p]]
+        here = np.flatnonzero(home)
+        for p in np.flatnonzero(~main).tolist():
+            # Of two visitors of each other the lesser one asks; who is of the main component never does.
+            q = here[(comp[here] != comp[p]) & (main[here] | (node[p] < node[here]))]
             q = q[100 * np.minimum(n[q], n[p]) >= percent * np.maximum(n[q], n[p])]
             if len(q):
-                q = q[may_reach(x[q], n[q], x[p], n[p], percent)]
-                q = q[(bands[q, :band] != bands[p, :band]).all(1)]
-                for r in q.tolist():
+                for r in q[may_reach(x[q], n[q], x[p], n[p], percent)].tolist():
                     yield (node[p], node[r]) if node[p] < node[r] else (node[r], node[p])
 
     def run(batches):
-        now, held = None, [[], [], [], [], [], []]
-        seen: list = []
+        now, held, fine, seen = None, [[], [], [], [], []], [], set()
 
         def close():
-            if now is not None and len(held[0]) > 1:
-                seen.extend(pairs_of(*now, *map(np.array, held[:4]), *held[4:]))
+            if now is not None and len(fine) > 1:
+                seen.update(pairs_of(*map(np.array, held), fine))
 
         def give():
-            out = list(seen)
+            out = sorted(seen)
             seen.clear()
             return pa.RecordBatch.from_pydict({"a": pa.array([int(p[0]) for p in out], pa.int64()), "b": pa.array([int(p[1]) for p in out], pa.int64())})
 
         for batch in batches:
-            key, i, j, own, node, comp, n = (batch.column(c).to_numpy() for c in range(7))
-            if not len(key):
+            if not batch.num_rows:
                 continue
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            key, block, *others = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(7))
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
             for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
-                at = (key[s], i[s], j[s])
-                if at != now:
+                if (at := (key[s], block[s])) != now:
                     close()
-                    now, held = at, [[], [], [], [], [], []]
-                for h, part in zip(held, (own, node, comp, n)):
+                    now, held, fine = at, [[], [], [], [], []], []
+                for h, part in zip(held, others):
                     h.extend(part[s:e].tolist())
-                held[4].extend(batch.column(7).slice(s, e - s).to_pylist())
-                held[5].extend(batch.column(8).slice(s, e - s).to_pylist())
+                fine.extend(batch.column(7).slice(s, e - s).to_pylist())
             if len(seen) > 50_000:
                 yield give()
         close()
@@ -289,27 +288,81 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return map_arrow(rows, run, "a long, b long")
 
 
+def _shingle_rows(nodes: DataFrame) -> DataFrame:
+    """node, n, shingle of each shingle of the nodes' sets."""
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for node, n, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                found = shingles(unpack(packed.as_py())).view(np.int64)
+                for at in range(0, len(found), 1 << 16):
+                    part = found[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_pydict({"node": np.full(len(part), node), "n": np.full(len(part), n), "shingle": part})
+
+    return map_arrow(nodes.select("node", "n", "packed"), run, "node long, n long, shingle long")
+
+
+def rare_buckets(nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """key, node: each node under those of its rarest shingles that a similar set must share one of, if others have them.
+
+    Sets of n shingles that are similar share percent / 100 of n or more, so
+    of the others and one more, the rarest first, they share at least one.
+    """
+    rows = scratch.cut(_shingle_rows(nodes), "rare-rows")
+    often = scratch.cut(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "rare-counts")
+    shared = _merged(rows, often, "shingle").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("all"))
+    # Those met once come first in the order and make no bucket.
+    take = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("all"))
+    return shared.filter(take > 0).select("node", F.explode(F.slice("all", F.lit(1), take.cast("int"))).alias("x")).select(F.col("x.shingle").alias("key"), "node")
+
+
+def _open_buckets(labelled: DataFrame, at_least: int, scratch: Scratch, name: str) -> DataFrame:
+    """key, size, main (the largest component) of buckets of ``at_least`` nodes of two components or more."""
+    sizes = scratch.cut(labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("nodes")), name)
+    found = sizes.groupBy("key").agg(F.sum("nodes").alias("size"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("nodes", "comp")).alias("most"))
+    return found.filter(f"comps > 1 AND size >= {at_least}").select("key", "size", F.col("most.comp").alias("main"))
+
+
+def late_pairs(labelled: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs that hubs left open and that may be similar by sizes and sketches; labelled: key, node, comp of the buckets' nodes."""
+    slim = nodes.select("node", "n", "fine")
+    found = lambda buckets, rows: _cross_pairs(_merged(_merged(rows, buckets, "key"), slim, "node").select("key", "node", "comp", "main", "n", "fine", "chunks"), percent)
+    # In a bucket of two the one pair there is was compared with its hub.
+    buckets = scratch.cut(_open_buckets(labelled, 3, scratch, "sizes-1"), "open")
+    pairs = found(buckets.filter(F.col("size") <= BLOCK).select("key", "main", F.lit(1).cast("long").alias("chunks")), labelled)
+    large = buckets.filter(F.col("size") > BLOCK)
+    if large.isEmpty():
+        return pairs
+    members = scratch.cut(_merged(labelled, large.select("key"), "key").select("node", "comp").distinct(), "large")
+    rare = scratch.cut(_merged(rare_buckets(_merged(nodes, members.select("node"), "node", "left_semi"), percent, scratch), members, "node").select("key", "node", "comp"), "rare")
+    buckets = _open_buckets(rare, 2, scratch, "sizes-2").select("key", "main", F.ceil(F.col("size") / BLOCK).cast("long").alias("chunks"))
+    return pairs.union(found(scratch.cut(buckets, "open-rare"), rare))
+
+
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, comp (the least node of its component) for the nodes of links (a, b).
 
     Alternates large and small stars, whose number of rounds grows with the
-    logarithm of a component's size, and cuts the lineage twice in each round.
+    logarithm of a component's size, and cuts the lineage in each round.  The
+    least neighbours are tables of their own, so both sides of the joins have
+    an exchange and adaptive execution can split the edges of a hub.
     """
     edges = scratch.cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-0")
     state, turn = None, 0
     sums = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+        least = scratch.cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m")), f"{name}-m{turn}")
         # Large star: each larger neighbour goes to the least one.
         large = _merged(both.filter("v > u"), least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         large = scratch.cut(large, f"{name}-l{turn}")
         # Small star: smaller neighbours and the node itself go to the least one.
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
+        least = scratch.cut(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c"), f"{name}-n{turn}")
         small = _merged(large, least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
         turn += 1
         small = scratch.cut(small, f"{name}-{turn}")
-        scratch.drop(f"{name}-l{turn - 1}", f"{name}-{turn - 1}")
+        scratch.drop(*(f"{name}-{kind}{turn - 1}" for kind in ("l", "m", "n", "")))
         edges, before, state = small, state, sums(small)
         if state == before:
             break
@@ -346,17 +399,12 @@ def near_dedup(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataFram
     links = _confirmed(tried, nodes, percent, scratch, "links")
     comps = scratch.cut(components(links, scratch, "cc"), "comps")
 
-    # What hubs left open: buckets with nodes of different components.
     labelled = _merged(buckets.select("key", "node"), comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     labelled = scratch.cut(labelled, "labelled")
     scratch.drop("buckets", "tried")
-    # In a bucket of two the one pair there is was compared with its hub.
-    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("size")).filter("least < most AND size > 2")
-    open_keys = scratch.cut(open_keys.select("key", F.ceil(F.col("size") / BLOCK).cast("long").alias("chunks")), "open")
-    rest = _merged(_merged(labelled, open_keys, "key"), nodes.select("node", "n", "fine", "regs"), "node").select("key", "node", "comp", "n", "fine", "regs", "chunks")
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crossing = scratch.cut(_merged(_cross_pairs(rest, percent), done, ["a", "b"], "left_anti"), "crossing")
-    scratch.drop("labelled", "stars", "open")
+    crossing = scratch.cut(_merged(late_pairs(labelled, nodes, percent, scratch).distinct(), done, ["a", "b"], "left_anti"), "crossing")
+    scratch.drop("labelled", "stars", "open", "large", "rare", "rare-rows", "rare-counts", "sizes-1", "sizes-2")
     late = _confirmed(crossing, nodes, percent, scratch, "late")
     by_set = _merged(nodes.select("set_id", "node"), comps, "node", "left").select("set_id", F.coalesce("comp", "node").alias("component_id"))
     if not late.isEmpty():  # then components grow together
@@ -366,12 +414,21 @@ def near_dedup(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataFram
         by_set = _merged(by_set, grown, F.col("component_id") == F.col("node"), "left").select("set_id", F.coalesce("comp", "component_id").alias("component_id"))
     by_set = scratch.cut(by_set, "by_set")
     scratch.drop("nodes", "crossing", "comps", "links", "late")
-    found = sketched.select("doc_id", "n_shingles", "set_id").join(by_set.hint("merge"), "set_id", "left")
+    # Rows without a set are linked with nothing, and join nothing.
+    slim = sketched.select("doc_id", "n_shingles", "set_id")
+    found = _merged(slim.filter("set_id IS NOT NULL"), by_set, "set_id", "left").select("doc_id", "n_shingles", "component_id")
+    found = found.union(slim.filter("set_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataFrame:
-    """``docs``, all columns, with one document (the smallest doc_id) of each component."""
-    gone = scratch.cut(near_dedup(docs, scratch, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """``docs``, all columns, with one document (the smallest doc_id) of each component.
+
+    Documents without words and rows without doc_id stay, as they are linked
+    with nothing; rows that repeat a doc_id are one document and stay or go
+    together.  Columns of any name are left alone, and an empty table gives none.
+    """
+    (key,) = fresh(docs, "gone")
+    gone = scratch.cut(near_dedup(docs, scratch, percent).filter("NOT kept").select(F.col("doc_id").alias(key)), "gone")
+    return docs.join(gone, docs["doc_id"] == gone[key], "left_anti")

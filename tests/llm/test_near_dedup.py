@@ -1,16 +1,25 @@
 """Near duplicates against all pairs, and sketches against exact similarities."""
 
 import random
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattiq.llm import near_dedup as nd
 
 
+def word_shingles(text):
+    """A set of tuples of words, by the contract alone: nothing of the module under test, no hashes."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    ws = tuple(re.findall(r"[^\x20\x09-\x0D]+", low))
+    return {ws[i : i + 5] for i in range(len(ws) - 4)} if len(ws) >= 5 else {ws} if ws else set()
+
+
 def brute(rows, percent):
     """Components by comparing every pair of documents that share a shingle."""
-    sets = [nd.shingles(t) for _, t in rows]
+    sets = [word_shingles(t) for _, t in rows]
     ids = [i for i, _ in rows]
     parent = {i: i for i in ids}
 
@@ -19,10 +28,10 @@ def brute(rows, percent):
             x = parent[x]
         return x
 
-    where: dict[int, list[int]] = {}
+    where: dict[tuple, list[int]] = {}
     for i, s in enumerate(sets):
         near: dict[int, int] = {}
-        for h in s.tolist():
+        for h in s:
             for j in where.setdefault(h, []):
                 near[j] = near.get(j, 0) + 1
             where[h].append(i)
@@ -101,3 +110,53 @@ def test_estimates():
             assert exact < 0.8 or nd.may_reach(x, np.array(len(a)), y, np.array(len(b)), 80)
         assert abs(np.mean(errors)) < 0.02
     assert (nd.registers(np.array([5], np.uint64)) == nd.registers(np.array([5], np.uint64))).all()
+
+
+def one_bucket(monkeypatch):
+    """Puts all nodes in the same bucket of band 0, as frames that all pages share do."""
+    keys = nd.band_keys
+
+    def same(regs):
+        found = keys(regs).copy()
+        found[0] = 7
+        return found
+
+    monkeypatch.setattr(nd, "band_keys", same)
+
+
+def test_a_bucket_of_unlike_nodes_gives_few_rows(spark, scratch, monkeypatch):
+    """20 000 nodes that share a bucket and half of their text: rows grow with the nodes, not with their square."""
+    rng = random.Random(9)
+    frame = words(rng, 30)
+    docs = spark.createDataFrame([(i, " ".join([*frame, *(f"u{i}x{j}" for j in range(30))])) for i in range(20_000)], "doc_id long, text string")
+    sketched = nd.sketch(docs).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "fine", "packed")
+    nodes = scratch.cut(sketched, "nodes")
+    labelled = nodes.select(F.lit(7).cast("long").alias("key"), "node", F.col("node").alias("comp"))
+    sent = []
+    of = nd._cross_pairs
+    monkeypatch.setattr(nd, "_cross_pairs", lambda rows, percent: sent.append(rows) or of(rows, percent))
+    assert nd.late_pairs(labelled, nodes, 80, scratch).count() == 0
+    assert sum(rows.agg(F.coalesce(F.sum("chunks"), F.lit(0))).first()[0] for rows in sent) < 20_000
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_large_open_buckets_lose_no_link(spark, scratch, monkeypatch, block):
+    """Frames with little of their own, near and far from one another, against all pairs; by rare shingles and blocks alone."""
+    one_bucket(monkeypatch)
+    monkeypatch.setattr(nd, "BLOCK", block)
+    rng = random.Random(11)
+    frame, texts = words(rng, 60), []
+    for i in range(120):
+        own = [f"o{i // 3}x{j}" for j in range(rng.choice([4, 12, 20, 40]))]
+        texts.append(" ".join(frame + altered(rng, own, rng.randrange(0, 3))))
+    texts += [" ".join(words(rng, 40)) for _ in range(40)] + texts[:5] + ["", "a b", "A  b"]
+    rows = list(enumerate(texts))
+    got = nd.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), scratch, 80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 80)
+
+
+def test_columns_with_our_names_stay(spark, scratch, odd_docs):
+    docs = odd_docs.withColumn("gone", F.lit(1)).withColumn("_gone", F.lit(2))
+    kept = nd.drop_near_copies(docs, scratch)
+    assert kept.columns == docs.columns and kept.filter("doc_id = 5").count() == 0 and kept.filter("gone <> 1 OR _gone <> 2").count() == 0
+    assert nd.drop_near_copies(docs.limit(0), scratch.__class__(spark, "none")).count() == 0
