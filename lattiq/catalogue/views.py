@@ -102,7 +102,13 @@ def _union_tables(spark, sf_dir):
     return union_tables([nation.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("parent")), region.select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))])
 
 
-@register("hash_sample", None)
+@register(
+    "hash_sample",
+    """WITH k AS (SELECT *, CAST(o_orderkey AS VARCHAR) AS key FROM orders),
+b AS (SELECT *, list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(substr(key, i, 1)) AS BIGINT)) AS bytes FROM k),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS crc32 FROM b)
+SELECT o_orderkey, o_custkey, o_totalprice FROM h WHERE crc32 % 5 = 0""",
+)
 def _hash_sample(spark, sf_dir):
     from lattiq.operators.relational import hash_sample
 

@@ -26,11 +26,11 @@ WEIGHTS = {"name": 0.20, "column": 0.35, "type": 0.15, "source": 0.30}
 CLUSTER_WEIGHTS = {"name": 0.0, "column": 0.5, "type": 0.2, "source": 0.3}
 CLUSTER_THRESHOLD = 0.80
 BANDS = (("Exact", 0.85), ("Strong", 0.65), ("Partial", 0.40), ("Weak", 0.15), ("None", 0.0))
-NAME_STOPWORDS = "the a an of and datasource data source ds model semantic dataset extract live copy final v1 v2 prod dev test".split()
+NAME_STOPWORDS = ["the", "a", "an", "of", "and", "datasource", "data", "source", "ds", "model", "semantic", "dataset", "extract", "live", "copy", "final", "v1", "v2", "prod", "dev", "test"]
 FUZZY_FLOOR, FUZZY_CAP = 0.6, 0.9
 GENERIC_WEIGHT, MIN_IDF_ASSETS, MIN_IDF = 0.25, 8, 0.15
-HELPER_TABLES = "date dates calendar measures measure parameters parameter keymeasures".split()
-GENERIC_TABLES = "data table table1 sheet sheet1 export extract query customsql dataset output results result temp tmp staging stage raw import source main default".split()
+HELPER_TABLES = ["date", "dates", "calendar", "measures", "measure", "parameters", "parameter", "keymeasures"]
+GENERIC_TABLES = ["data", "table", "table1", "sheet", "sheet1", "export", "extract", "query", "customsql", "dataset", "output", "results", "result", "temp", "tmp", "staging", "stage", "raw", "import", "source", "main", "default"]
 COMPATIBLE = {
     "INTEGER": ["int64", "decimal", "double"],
     "REAL": ["double", "decimal", "int64"],
@@ -197,24 +197,71 @@ def bucket(tier: Column) -> Column:
     return F.when(tier.isin("Exact", "Strong"), "already_exists").when(tier == "Partial", "partial").otherwise("rebuild")
 
 
-def compare_inventories(left: DataFrame, right: DataFrame, top: int = 3, blocked: bool = False) -> DataFrame:
+def sharing(sets: DataFrame, least: float) -> DataFrame:
+    """Pairs a < b of ids whose sets may have a Jaccard similarity of ``least`` or more.  sets: id, keys, each id once.
+
+    Of each set the rarest members count, as many as may be missing from a
+    similar one and one more: sets that are similar share one of them.  So a
+    member that all sets have makes no pairs unless there is little else.
+    """
+    each = sets.select("id", F.size("keys").alias("n"), F.explode("keys").alias("k"))
+    times = each.groupBy("k").agg(F.count(F.lit(1)).alias("times"))
+    ranked = each.join(times, "k").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("times", "k"))).alias("all"))
+    marks = ranked.select("id", "n", F.explode(F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))).alias("x")).select("id", "n", F.col("x.k").alias("k"))
+    a, b = marks.select(F.col("id").alias("a"), F.col("n").alias("na"), "k"), marks.select(F.col("id").alias("b"), F.col("n").alias("nb"), "k")
+    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least)
+    return a.join(b, "k").filter(near).select("a", "b").distinct()
+
+
+def names_alike(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different name tokens whose character ratio may reach FUZZY_FLOOR; left and right: token.
+
+    A ratio is twice the characters matched over both lengths, and no more
+    match than both have as multisets.  So the shorter has 3/7 of the longer
+    one's length, as many of a token's characters are matched, and of the
+    others and one more, the rarest first, one is in common.
+    """
+    chars = F.filter(F.split("token", ""), lambda c: c != "")
+    # The same character again is another member.
+    each = F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+    of = lambda df: df.select("token").filter("token <> ''").distinct().withColumn("all", each)
+    left, right = of(left), of(right)
+    times = left.union(right).select(F.explode("all").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("times"))
+    share = FUZZY_FLOOR / 2 / (1 - FUZZY_FLOOR / 2)
+
+    def marks(df: DataFrame, name: str) -> DataFrame:
+        ranked = df.select("token", "all", F.explode("all").alias("k")).join(times, "k").groupBy("token", "all").agg(F.sort_array(F.collect_list(F.struct("times", "k"))).alias("rare"))
+        take = (F.size("all") - F.ceil(F.round(F.size("all") * share, 9)) + 1).cast("int")
+        return ranked.select(F.col("token").alias(name), F.col("all").alias(f"{name}_all"), F.explode(F.slice("rare", F.lit(1), take)).alias("x")).select(name, f"{name}_all", F.col("x.k").alias("k"))
+
+    pairs = marks(left, "a").join(marks(right, "b"), "k").filter("a <> b")
+    both = F.size(F.array_intersect("a_all", "b_all"))
+    return pairs.filter(2 * both >= FUZZY_FLOOR * (F.size("a_all") + F.size("b_all")) - 1e-9).select("a", "b").distinct()
+
+
+def compare_inventories(left: DataFrame, right: DataFrame, top: int = 3) -> DataFrame:
     """The best ``top`` + 1 candidates of each left asset: left_id, right_id, rank, signals, score, tier, bucket.
 
-    Every pair is scored, since any two names may be alike; inventories are
-    metadata.  For estates too large for that, ``blocked`` scores only pairs
-    that share a column, a table or a word of the name, and says so by its
-    name.  Ties go by right_id.
+    Ties go by right_id.  Scored are pairs that share a column, a table or a
+    word of the name, and pairs of names with enough characters in common:
+    all others score 0, and of those a left asset can only need the first
+    ``top`` + 1 right ids.  So the result is that of scoring every pair.
     """
     a, b = prepared(left), prepared(right)
     population = a.select("id", "keys").union(b.select("id", "keys"))
     packed = lambda df, alias: with_weights(df, population).select(F.struct("*").alias(alias))
-    a, b = packed(a, "a"), packed(b, "b")
-    if blocked:
-        tokens = lambda x: F.explode(F.array_union(F.array_union(F.transform(F.col(f"{x}.keys"), lambda k: F.concat(F.lit("c:"), k)), F.transform(F.col(f"{x}.tables"), lambda k: F.concat(F.lit("t:"), k))), F.transform(F.col(f"{x}.words"), lambda k: F.concat(F.lit("n:"), k))))
-        ids = a.select(F.col("a.id").alias("ia"), tokens("a").alias("k")).join(b.select(F.col("b.id").alias("ib"), tokens("b").alias("k")), "k").select("ia", "ib").distinct()
-        pairs = ids.join(a, F.col("ia") == F.col("a.id")).join(b, F.col("ib") == F.col("b.id")).select("a", "b")
-    else:
-        pairs = a.crossJoin(b)
+    a, b = cut(packed(a, "a")), cut(packed(b, "b"))
+    marks = lambda x: F.array_union(F.array_union(F.transform(F.col(f"{x}.keys"), lambda k: F.concat(F.lit("c:"), k)), F.transform(F.col(f"{x}.tables"), lambda k: F.concat(F.lit("t:"), k))), F.transform(F.col(f"{x}.words"), lambda k: F.concat(F.lit("n:"), k)))
+    of = lambda df, x: df.select(F.col(f"{x}.id").alias(f"i{x}"), F.col(f"{x}.token").alias(f"t{x}"), F.explode(marks(x)).alias("k"))
+    shared = of(a, "a").join(of(b, "b"), "k").select("ia", "ib")
+    tokens = lambda df, x: df.select(F.col(f"{x}.id").alias(f"i{x}"), F.col(f"{x}.token").alias("token"))
+    alike = names_alike(tokens(a, "a"), tokens(b, "b"))
+    alike = tokens(a, "a").join(alike, F.col("token") == F.col("a")).drop("token").join(tokens(b, "b"), F.col("token") == F.col("b")).select("ia", "ib")
+    same = tokens(a, "a").filter("token <> ''").join(tokens(b, "b"), "token").select("ia", "ib")
+    first = b.select(F.col("b.id").alias("ib")).orderBy("ib").limit(top + 1)
+    rest = a.select(F.col("a.id").alias("ia")).join(F.broadcast(first.agg(F.collect_list("ib").alias("ids"))), F.lit(True)).select("ia", F.explode("ids").alias("ib"))  # one row
+    ids = shared.union(alike).union(same).union(rest).distinct()
+    pairs = ids.join(a, F.col("ia") == F.col("a.id")).join(b, F.col("ib") == F.col("b.id")).select("a", "b")
     scored = score(pairs).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), "name_score", "column_score", "type_score", "source_score", "shared_columns", "score")
     rank = F.row_number().over(Window.partitionBy("left_id").orderBy(F.col("score").desc(), "right_id"))
     tier = band(F.col("score"))
@@ -226,7 +273,9 @@ def assign_one_to_one(candidates: DataFrame) -> DataFrame:
 
     In rounds: a pair that is the best for both of its sides is the one that
     the greedy order would take, so all such pairs are taken at once.
-    Candidates never go to the driver.
+    Candidates never go to the driver.  The best pair left is always taken, so
+    rounds end; a chain in which each pair waits for the one before it takes
+    as many rounds as it has pairs.
     """
     rest = cut(candidates.filter("score > 0").select("left_id", "right_id", "score"))
     taken = rest.limit(0)
@@ -346,19 +395,24 @@ def fingerprint(keys: Column, tables: Column) -> Column:
 def cluster(inventory: DataFrame, threshold: float = CLUSTER_THRESHOLD) -> DataFrame:
     """id, fingerprint, cluster (its least id), size: assets whose structure is the same or nearly so.
 
-    Equal fingerprints are one asset for scoring, so copies cost nothing; the
-    rest are compared where they share a column or a table, without which the
-    score is 0.
+    Equal fingerprints are one asset for scoring, so copies cost nothing.  The
+    rest are compared where their columns are alike enough for the threshold;
+    assets that share none score less than any threshold above the weight of
+    the sources.
     """
+    w = CLUSTER_WEIGHTS
+    if threshold <= w["source"]:
+        raise ValueError("a threshold must be above the weight of the sources")
     own = prepared(inventory).withColumn("fingerprint", fingerprint(F.col("keys"), F.col("tables")))
     own = cut(own)
     seeds = own.groupBy("fingerprint").agg(F.min("id").alias("id"))
     reps = own.join(seeds, ["fingerprint", "id"]).dropDuplicates(["fingerprint"])
     ones = F.map_from_entries(F.transform("keys", lambda k: F.struct(k, F.when(k.isin(sorted(GENERIC)), F.lit(GENERIC_WEIGHT)).otherwise(F.lit(1.0)))))
     reps = cut(reps.withColumn("weights", ones).select(F.struct(*[c for c in own.columns if c != "fingerprint"], "weights").alias("a")))
-    marks = lambda x: F.explode(F.array_union(F.transform(F.col(f"{x}.keys"), lambda k: F.concat(F.lit("c:"), k)), F.transform(F.col(f"{x}.tables"), lambda k: F.concat(F.lit("t:"), k))))
+    # With types and sources at their best; generic columns weigh less, so by count as little as this much of that share.
+    columns = max(0.0, (threshold - w["type"] - w["source"]) / w["column"] - 1e-3)
+    ids = sharing(reps.select("a.id", "a.keys"), columns * GENERIC_WEIGHT).withColumnsRenamed({"a": "ia", "b": "ib"})
     left, right = reps, reps.select(F.col("a").alias("b"))
-    ids = left.select(F.col("a.id").alias("ia"), marks("a").alias("k")).join(right.select(F.col("b.id").alias("ib"), marks("b").alias("k")), "k").filter("ia < ib").select("ia", "ib").distinct()
     pairs = ids.join(left, F.col("ia") == F.col("a.id")).join(right, F.col("ib") == F.col("b.id")).select("a", "b")
     links = score(pairs, CLUSTER_WEIGHTS).filter(F.col("score") >= threshold).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     found = connected_components(seeds.select(F.col("id").alias("node")), cut(links))

@@ -45,8 +45,21 @@ def sessions(events: DataFrame, time: str, gap: str, keys: list[str], measures:
 
 
 def run_to_table(view: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Runs a streaming view over what is there and stops; its state is in ``checkpoint``."""
-    return view.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs a streaming view over what is there and stops; its state is in ``checkpoint`` and its result the view ``name``.
+
+    Each batch writes what it found as Parquet beside the checkpoint, from the
+    tasks: all windows in complete mode, of which the last batch's are the
+    result, else those that changed or closed.  A batch that is run again
+    replaces its own files.
+    """
+    spark, folder = view.sparkSession, f"{checkpoint}-result"
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(folder if mode == "complete" else f"{folder}/batch={n}")
+        spark.read.schema(view.schema).parquet(folder).select(*view.columns).createOrReplaceTempView(name)
+
+    keep(spark.createDataFrame([], view.schema), -1)
+    return view.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def write_view(view: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
