@@ -120,6 +120,13 @@ def _field_swap(spark, sf_dir):
     return run_view(model, {"fields": [dim("Priority"), calc("chosen", formula, 4)]})
 
 
+@register("sheet_swap", "SELECT o_orderpriority AS Priority, round(sum(o_totalprice), 4) AS total FROM orders GROUP BY 1")
+def _sheet_swap(spark, sf_dir):
+    model = star(spark, sf_dir)
+    views = {"sales": {"fields": [dim("Priority"), calc("total", "SUM([Total])", 4)]}, "count": {"fields": [dim("Order Status"), calc("n", "COUNT([Order])")]}}
+    return run_view(model, derived.view_swap(model.params["Swap"], views))
+
+
 @register("date_bands", "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) > (SELECT CAST(max(o_orderdate) AS DATE) - 90 FROM orders) AND CAST(o_orderdate AS DATE) <= (SELECT CAST(max(o_orderdate) AS DATE) - 30 FROM orders)")
 def _date_bands(spark, sf_dir):
     return derived.date_band_filter(table(spark, sf_dir, "orders"), "o_orderdate", [30, 90, 365, 9999], 90).select("o_orderkey")

@@ -152,6 +152,15 @@ def field_swap(choice: object, fields: Mapping, default: str | None = None) -> s
     return default
 
 
+def view_swap(choice: object, views: Mapping, default: object = None):
+    """The view that a parameter's value shows: of views stacked in one place, the others are not computed."""
+    if choice in views:
+        return views[choice]
+    if default is None:
+        raise UnsupportedCalc(f"no view for {choice!r}", "parameter")
+    return default
+
+
 def date_band_filter(df: DataFrame, column: str, bands: Sequence[int], selected: int | None = None) -> DataFrame:
     """Rows in the chosen band of days before the latest date of the table.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,13 +55,15 @@ def match_headers(declared: Sequence[str], headers: Sequence[str]) -> dict[str,
     return found
 
 
-def read_csv(spark: SparkSession, path: str, columns: Mapping[str, str], encoding: str = "UTF-8", delimiter: str = ",", limit: int | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: Mapping[str, str], encoding: str = "UTF-8", delimiter: str = ",", limit: int | None = None, multi_line: bool = False) -> DataFrame:
     """A delimited file with a header, typed as declared, never inferred.
 
+    With ``multi_line`` quoted cells may hold line feeds; a file is then read
+    by one task, as no byte range tells whether it begins inside of quotes.
     Short rows are filled with nulls and surplus cells passed over; cells that
     don't fit their type are null.  Only the header is read on the way to a plan.
     """
-    options = {"header": True, "encoding": encoding, "sep": delimiter, "mode": "PERMISSIVE", "multiLine": False}
+    options = {"header": True, "encoding": encoding, "sep": delimiter, "mode": "PERMISSIVE", "multiLine": multi_line, "escape": '"'}
     headers = [h.lstrip("﻿") for h in spark.read.options(**options).csv(path).columns]
     bound = match_headers(list(columns), headers)
     if missing := [c for c in columns if c not in bound]:
@@ -139,7 +142,11 @@ JDBC_URLS = {
     "trino": "jdbc:trino://{server}/{database}",
     "starburst": "jdbc:trino://{server}/{database}",
 }
-PARTIAL = frozenset(("bigquery", "teradata"))
+#: Known classes whose address takes more than a description holds.
+PARTIAL = {
+    "bigquery": "jdbc:bigquery://https://www.googleapis.com/bigquery/v2:443;ProjectId={project};OAuthType={oauth_type}",
+    "teradata": "jdbc:teradata://{server}/DATABASE={database}",
+}
 FILES = {"csv": "csv", "textscan": "csv", "parquet": "parquet", "extract": "parquet"}
 ODBC = frozenset(("genericodbc",))
 CUBES = frozenset(("msolap", "sqlserver-analysis-services"))
@@ -166,33 +173,48 @@ class Decision:
     follow_ups: tuple[str, ...] = ()
 
 
+def _address(c: Connection) -> tuple[str | None, tuple[str, ...]]:
+    """The JDBC address, or the options that it still needs; a ``url`` among the options is the address as it stands."""
+    template = c.options.get("url") or (JDBC_URLS | PARTIAL).get(c.kind.lower())
+    if template is None:
+        return None, ("url",)
+    if "url" in c.options:
+        return template, ()
+    missing = tuple(n for _, n, _, _ in Formatter().parse(template) if n and n not in c.options)
+    return None if missing else template.format(**c.options), missing
+
+
+def address(c: Connection) -> str | None:
+    """The JDBC address, if the options are all there."""
+    return _address(c)[0]
+
+
 def decide(c: Connection) -> Decision:
+    """How to read a connection; what its address still lacks is among the follow-ups, and ``jdbc_options`` refuses it until then."""
     kind, less = c.kind.lower(), 10 if c.query else 0
     review = ("review the SQL text",) if c.query else ()
     if kind in CUBES:
         return Decision(None, 30, "a finished multidimensional model is no table source")
     if kind in FILES:
         return Decision(FILES[kind], 80, "a file", ("give the file's path",) if "path" not in c.options else ())
+    missing = tuple(f"give {n}" for n in _address(c)[1])
     if kind in ODBC or kind in ENGINES:
-        named = kind in ENGINES or c.options.get("dsn") or c.options.get("driver")
-        return Decision("jdbc", 60, "through a driver", (*review, "put the driver on the cluster")) if named else Decision(None, 30, "neither a data source name nor a driver is given")
+        named = kind in ENGINES or any(c.options.get(k) for k in ("dsn", "driver", "url"))
+        return Decision("jdbc", 60, "through a driver", (*review, "put the driver on the cluster", *missing)) if named else Decision(None, 30, "neither a data source name nor a driver is given")
     if kind in JDBC_URLS:
-        return Decision("jdbc", (90 if c.extract else 95) - less, "a supported database", review)
+        return Decision("jdbc", (90 if c.extract else 95) - less, "a supported database", (*review, *missing))
     if kind in PARTIAL:
-        return Decision("jdbc", 60 - less, "known, but its address has to be completed", (*review, "complete the address"))
+        return Decision("jdbc", 60 - less, "known, but its address has to be completed", (*review, *missing))
     return Decision(None, 30, f"no way to read {c.kind}")
 
 
 def jdbc_options(c: Connection) -> dict[str, str]:
     """Options of ``spark.read.format("jdbc")``; nothing is connected to."""
-    template = JDBC_URLS.get(c.kind.lower())
-    if template is None:
-        raise UnsupportedCalc(f"no JDBC address for {c.kind}", "source")
-    try:
-        url = template.format(**c.options)
-    except KeyError as e:
-        raise UnsupportedCalc(f"{c.kind} needs {e.args[0]}", "source") from e
+    url, missing = _address(c)
+    if url is None:
+        raise UnsupportedCalc(f"{c.kind} needs {', '.join(missing)}", "source")
     out = {"url": url, "fetchsize": c.options.get("fetchsize", "10000")}
+    out |= {"driver": c.options["driver_class"]} if "driver_class" in c.options else {}
     out |= {"query": c.query} if c.query else {"dbtable": ".".join(table_name(c.table or ""))}
     # With these a table is read by many tasks; a query text can't be split.
     split = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")

@@ -363,6 +363,12 @@ def _addressing(calc: ElementTree.Element, rows: list[str], cols: list[str], oth
         if len(along) < len(set(named)):
             raise UnsupportedCalc("addressing by a field that isn't shown", "table calc")
         apart = [p for p in rows + cols + others if p not in named]
+    elif kind in ("RowInPane", "ColumnInPane"):
+        # A pane is what one member of the outer field has; with more fields on the axis it could be cut in several ways.
+        axis, other = (cols, rows) if kind == "RowInPane" else (rows, cols)
+        if len(axis) > 2:
+            raise UnsupportedCalc(f"addressing {kind} along {len(axis)} fields", "table calc")
+        along, apart = axis[-1:], other + axis[:-1] + others
     else:
         raise UnsupportedCalc(f"addressing {kind}", "table calc")
     return tuple(names[p] for p in apart), tuple((names[p], False) for p in along)
@@ -467,6 +473,37 @@ def to_view(book: Workbook, name: str) -> ViewQuery:
     return ViewQuery(tuple(fields), tuple(filters))
 
 
+_PASSED_ON = re.compile(r"\s*\[Parameters\]\.\[((?:[^\]]|\]\])+)\]\s*")
+
+
+def sheet_swaps(book: Workbook) -> dict[str, dict[str, tuple]]:
+    """Parameters that choose among worksheets: the parameter's caption to each sheet's values that show it.
+
+    A sheet is gated by a filter that keeps members of a calculation which
+    only passes a parameter on.  One such sheet alone is no swap.
+    """
+    found: dict[str, dict[str, tuple]] = {}
+    for name, node in book.sheets.items():
+        sheet = _Sheet(node)
+        for f in node.findall("table/view/filter"):
+            column = sheet.field((sheet.pills(f.get("column")) or [_bare(f.get("column"))])[0])[0] if f.get("class") == "categorical" else None
+            calc = sheet.columns[column].find("calculation") if column in sheet.columns else None
+            m = _PASSED_ON.fullmatch(calc.get("formula") or "") if calc is not None else None
+            groups = f.find("groupfilter")
+            if m and groups is not None and groups.get("function") in ("member", "union"):
+                param = next((p for p in book.parameters.values() if _bare(p.name) == m[1].replace("]]", "]")), None)
+                dtype = sheet.columns[column].get("datatype", "string")
+                members = tuple(_value(x, dtype) if isinstance(x, str) and dtype != "string" else x for x in _member(groups))
+                found.setdefault(param.caption if param else m[1], {})[name] = members
+    return {p: sheets for p, sheets in found.items() if len(sheets) > 1}
+
+
+def visible(book: Workbook, values: dict[str, object]) -> list[str]:
+    """The worksheets that are shown with these parameter values; sheets that no swap gates always are."""
+    hidden = {name for p, sheets in sheet_swaps(book).items() if p in values for name, members in sheets.items() if values[p] not in members}
+    return [name for name in book.sheets if name not in hidden]
+
+
 def coverage(book: Workbook) -> dict[str, str]:
     """Each worksheet with ``ok`` or why it is refused."""
     out = {}

@@ -225,6 +225,54 @@ def test_connectors():
         jdbc_options(Connection("snowflake", {"server": "x", "database": "d"}, table="t"))
 
 
+def test_addresses_to_complete():
+    for kind, options, missing in (("bigquery", {}, ["project", "oauth_type"]), ("teradata", {"server": "h"}, ["database"]), ("genericodbc", {"dsn": "x"}, ["url"])):
+        c = Connection(kind, options, table="t")
+        assert decide(c).format == "jdbc" and [f"give {n}" for n in missing] == [x for x in decide(c).follow_ups if x.startswith("give")]
+        with pytest.raises(UnsupportedCalc, match=missing[0]):
+            jdbc_options(c)
+        whole = Connection(kind, options | {n: "v" for n in missing}, table="t")
+        assert not [x for x in decide(whole).follow_ups if x.startswith("give")] and jdbc_options(whole)["url"]
+    assert jdbc_options(Connection("genericodbc", {"url": "jdbc:a:b", "driver_class": "c.D"}, table="t")) == {"url": "jdbc:a:b", "driver": "c.D", "fetchsize": "10000", "dbtable": "t"}
+
+
+def test_cells_of_several_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,v\n1,"two\nlines, ""quoted"""\n2,x\n')
+    got = read_csv(spark, str(tmp_path / "a.csv"), {"k": "integer", "v": "string"}, multi_line=True)
+    assert rows(got) == [(1, 'two\nlines, "quoted"'), (2, "x")]
+
+
+def test_candidates_are_those_of_all_pairs(spark):
+    """Against a loop over every pair of names: alike ones, equal ones and those that share a word."""
+    import difflib
+    import random
+
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 9)))
+    tokens = [name() for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in tokens], "token string")
+    got = {tuple(r) for r in sim.names_alike(df, df).collect()}
+    want = {(a, b) for a in tokens for b in tokens if a != b and difflib.SequenceMatcher(None, a, b).ratio() >= sim.FUZZY_FLOOR}
+    assert want <= got and len(got) < len(set(tokens)) ** 2
+    sides = [spark.createDataFrame([(f"{s}{i:02}", t, None, None, None) for i, t in enumerate(tokens[k::2])], sim.INVENTORY) for k, s in enumerate("lr")]
+    found = {(r["left_id"], r["rank"]): (r["right_id"], r["score"]) for r in sim.compare_inventories(*sides).collect()}
+    for i, a in enumerate(tokens[::2]):
+        ratio = [difflib.SequenceMatcher(None, a, b).ratio() for b in tokens[1::2]]
+        score = [(1.0 if a == b else 0.9 * r if r >= 0.6 else 0.0, -j) for j, (b, r) in enumerate(zip(tokens[1::2], ratio))]
+        assert [found[f"l{i:02}", n + 1][0] for n in range(4)] == [f"r{-j:02}" for _, j in sorted(score, reverse=True)[:4]]
+
+
+def test_sharing_loses_no_pair(spark):
+    import random
+
+    rng = random.Random(5)
+    sets = {f"s{i:02}": sorted({"id", *(f"c{rng.randrange(12)}" for _ in range(rng.randrange(0, 8)))}) for i in range(40)}
+    df = spark.createDataFrame(list(sets.items()), "id string, keys array<string>")
+    for least in (0.0, 0.3, 0.75, 1.0):
+        got = {tuple(r) for r in sim.sharing(df, least).collect()}
+        assert {(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) >= max(least, 1e-9)} <= got
+
+
 def test_materialised_tables(spark, tmp_path):
     m = Model.single(spark.createDataFrame([(1,), (None,)], "n int"), "t")
     out = enriched(m, {"twice": "[n] * 2", "bad": "SUM([n])", "worse": "[x]"})

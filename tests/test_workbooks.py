@@ -2,6 +2,7 @@
 
 import zipfile
 from datetime import datetime
+from xml.etree import ElementTree
 
 import pytest
 
@@ -109,3 +110,28 @@ def test_zipped(tmp_path, book):
     assert list(wb.load(str(tmp_path / "b.twbx")).sheets) == list(book.sheets)
     (tmp_path / "bad.twb").write_text("<")
     assert [isinstance(x, UnsupportedCalc) for x in wb.find(str(tmp_path)).values()] == [False, True]
+
+
+GATED = """<workbook><datasources><datasource name='Parameters' hasconnection='false'>
+<column caption='Pick' datatype='string' name='[Parameter 2]' value='&quot;a&quot;'><members><member value='&quot;a&quot;'/><member value='&quot;b&quot;'/></members></column></datasource>
+<datasource caption='S' name='s'><connection class='postgres' server='h' dbname='d'/></datasource></datasources><worksheets>%s</worksheets></workbook>"""
+GATE = """<worksheet name='%s'><table><view><datasource-dependencies datasource='s'><column datatype='string' name='[G]' role='dimension'><calculation formula='%s'/></column></datasource-dependencies>
+<filter class='categorical' column='[s].[G]'><groupfilter function='%s' member='&quot;%s&quot;' level='[G]'/></filter></view><rows></rows></table></worksheet>"""
+
+
+def test_sheet_swaps():
+    passed = "[Parameters].[Parameter 2]"
+    book = wb.parse(GATED % "".join([GATE % ("One", passed, "member", "a"), GATE % ("Two", passed, "member", "b"), GATE % ("Other", "[x]", "member", "a"), GATE % ("All", passed, "level-members", "a")]))
+    assert wb.sheet_swaps(book) == {"Pick": {"One": ("a",), "Two": ("b",)}}
+    assert wb.visible(book, {"Pick": "a"}) == ["One", "Other", "All"] and wb.visible(book, {}) == ["One", "Two", "Other", "All"]
+    assert wb.sheet_swaps(wb.parse(GATED % (GATE % ("One", passed, "member", "a")))) == {}
+
+
+def test_addressing_inside_panes():
+    calc = lambda kind: ElementTree.fromstring(f"<table-calc ordering-type='{kind}'/>")
+    names = {x: x.upper() for x in "abcde"}
+    assert wb._addressing(calc("RowInPane"), ["a"], ["b", "c"], ["d"], names) == (("A", "B", "D"), (("C", False),))
+    assert wb._addressing(calc("ColumnInPane"), ["a", "b"], ["c"], [], names) == (("C", "A"), (("B", False),))
+    assert wb._addressing(calc("RowInPane"), ["a"], ["b"], [], names) == wb._addressing(calc("Rows"), ["a"], ["b"], [], names)
+    with pytest.raises(UnsupportedCalc):
+        wb._addressing(calc("RowInPane"), [], ["a", "b", "c"], [], names)
