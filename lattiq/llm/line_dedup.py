@@ -79,14 +79,17 @@ def suffix_ranks(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     nth = F.row_number().over(Window.partitionBy(*PLACE).orderBy("line"))
     now = scratch.cut(first.withColumn("nth", nth).filter("nth = 1").select(*PLACE, "long", "rank", "size", F.lit(False).alias("done")), "round-0")
     scratch.drop("lines")
-    ranked, h, turn = [], 1, 0
+    finished, held, h, turn = [], None, 1, 0
+    by_doc = Window.partitionBy(*DOC)
     while not now.filter("NOT done").isEmpty():
-        everything = now
-        for r in ranked:
-            everything = everything.union(r)
-        after = F.first(F.struct("rank", "size")).over(Window.partitionBy(*DOC).orderBy("line").rangeBetween(h, h))
-        live = everything.withColumn("next", after).filter("NOT done").select(*PLACE, "long", "rank", F.element_at("rank", -1).alias("own"), F.col("next.rank").alias("after"), F.col("next.size").alias("size"))
-        live = scratch.cut(live, f"pairs-{turn}")
+        everything = now if held is None else now.union(held)
+        after = F.first(F.struct("rank", "size")).over(by_doc.orderBy("line").rangeBetween(h, h))
+        # Ranks of documents in which no suffix goes on are not looked up again.
+        goes_on = F.max(~F.col("done")).over(by_doc)
+        passed = scratch.cut(everything.withColumn("next", after).withColumn("goes_on", goes_on), f"passed-{turn}")
+        finished.append(passed.filter("done AND NOT goes_on").select(*PLACE, "long", "rank", "size"))
+        held = passed.filter("done AND goes_on").select(*now.columns)
+        live = passed.filter("NOT done").select(*PLACE, "long", "rank", F.element_at("rank", -1).alias("own"), F.col("next.rank").alias("after"), F.col("next.size").alias("size"))
         pairs = _numbered(_classes(live.filter("after IS NOT NULL"), "own", "after"), "own", "after")
         pairs = scratch.cut(pairs, f"numbers-{turn}").select(F.col("own").alias("_own"), F.col("after").alias("_after"), "alone", "number")
         found = live.filter("after IS NOT NULL").join(pairs.hint("merge"), (F.col("own") == F.col("_own")) & (F.col("after") == F.col("_after")))
@@ -94,13 +97,13 @@ def suffix_ranks(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
         more = F.concat("rank", F.array("number"), F.when(ends, F.array(F.lit(_END))).otherwise(F.array().cast("array<bigint>")))
         found = found.select(*PLACE, "long", more.alias("rank"), F.when(ends, F.col("size") + h).otherwise(0).alias("size"), (F.col("alone") | ends).alias("done"))
         found = found.union(live.filter("after IS NULL").select(*PLACE, "long", F.concat("rank", F.array(F.lit(_END))).alias("rank"), F.lit(h).alias("size"), F.lit(True).alias("done")))
-        ranked.append(now.filter("done"))
         turn, h = turn + 1, 2 * h
         now = scratch.cut(found, f"round-{turn}")
-        scratch.drop(f"pairs-{turn - 1}", f"numbers-{turn - 1}")
-    for r in ranked:
-        now = now.union(r)
-    return now.drop("done")
+        scratch.drop(f"numbers-{turn - 1}", f"round-{turn - 1}")
+    ranks = now.drop("done")
+    for x in finished if held is None else [*finished, held.drop("done")]:
+        ranks = ranks.union(x)
+    return ranks
 
 
 def _shared(a: Column, b: Column, size: Column) -> tuple[Column, Column]:
@@ -131,7 +134,7 @@ def suffix_array(ranks: DataFrame, scratch: Scratch) -> DataFrame:
     looked, turn = [], 0
     todo = rows.filter("open").select(*PLACE, "prev", "lcp")
     while not todo.isEmpty():
-        at = lambda name: ranks.select(*[F.col(c).alias(f"{name}_{c}") for c in PLACE], F.col("rank").alias(name), F.col("size").alias(f"{name}_size"))
+        at = lambda name: table.select(*[F.col(c).alias(f"{name}_{c}") for c in PLACE], F.col("rank").alias(name), F.col("size").alias(f"{name}_size"))
         a, b = at("a"), at("b")
         here = [F.col(c) == F.col(f"a_{c}") for c in DOC] + [F.col("line") + F.col("lcp") == F.col("a_line")]
         there = [F.col(f"prev.{c}") == F.col(f"b_{c}") for c in DOC] + [F.col("prev.line") + F.col("lcp") == F.col("b_line")]

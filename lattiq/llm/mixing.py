@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import Scratch, check_columns
+from lattiq.llm.common import Scratch, check_columns, fresh
 
 BLOCK_DOCS = 16
 FRAME_SLOTS = 1000
@@ -212,23 +212,31 @@ def mix(docs: DataFrame, scratch: Scratch, weights: dict[str, float] | None = No
 
 
 def in_mixture_order(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """``docs``, all rows and columns, in the order of the exact mixture over its partitions."""
-    places = scratch.cut(mix(docs, scratch, exact=True, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("position").alias("_position")).groupBy("_id", "_source").agg(F.min("_position").alias("_position")), "places")
-    found = docs.join(places.hint("merge"), docs["doc_id"].eqNullSafe(places["_id"]) & (F.coalesce(docs["source"], F.lit("")) == places["_source"]))
-    return found.repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)
+    """``docs``, all rows and columns, in the order of the exact mixture over its partitions.
+
+    Null sources count as the empty name and null doc_ids are like others;
+    rows that share doc_id and source stand together.  Texts play no part,
+    columns of any name are left alone, and an empty table gives none.
+    """
+    key, of, at = fresh(docs, "key", "of", "at")
+    places = mix(docs, scratch, exact=True, **options).groupBy("doc_id", "source").agg(F.min("position").alias(at))
+    places = scratch.cut(places.select(F.col("doc_id").alias(key), F.col("source").alias(of), at), "places")
+    found = docs.join(places.hint("merge"), docs["doc_id"].eqNullSafe(places[key]) & (F.coalesce(docs["source"], F.lit("")) == places[of]))
+    return found.repartitionByRange(at).sortWithinPartitions(at).select(*[docs[c] for c in docs.columns])
 
 
 def with_position(rows: DataFrame, docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """``rows``, one for each of ``docs``, with its position in the exact mixture of ``docs`` in place of source.
 
     Rows that share doc_id and source take the positions of that pair in the
-    order of their other columns, so every position is taken once.
+    order of their other columns, so every position is taken once.  An empty
+    table gives none.
     """
-    key = ["_id", "_source"]
-    places = scratch.cut(mix(docs, scratch, exact=True, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "position"), "positions")
-    places = places.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy("position")))
+    key, of, nth, row_key, row_of, row_nth = fresh(rows, "key", "of", "nth", "row_key", "row_of", "row_nth")
+    places = scratch.cut(mix(docs, scratch, exact=True, **options).select(F.col("doc_id").alias(key), F.col("source").alias(of), "position"), "positions")
+    places = places.withColumn(nth, F.row_number().over(Window.partitionBy(key, of).orderBy("position")))
     others = [c for c in rows.columns if c != "source"]
-    rows = rows.select(*others, F.col("doc_id").alias("_row_id"), F.coalesce("source", F.lit("")).alias("_row_source"))
-    rows = rows.withColumn("_row_nth", F.row_number().over(Window.partitionBy("_row_id", "_row_source").orderBy(*others)))
-    same = rows["_row_id"].eqNullSafe(places["_id"]) & (rows["_row_source"] == places["_source"]) & (rows["_row_nth"] == places["_nth"])
+    rows = rows.select(*others, F.col("doc_id").alias(row_key), F.coalesce("source", F.lit("")).alias(row_of))
+    rows = rows.withColumn(row_nth, F.row_number().over(Window.partitionBy(row_key, row_of).orderBy(*others)))
+    same = rows[row_key].eqNullSafe(places[key]) & (rows[row_of] == places[of]) & (rows[row_nth] == places[nth])
     return rows.join(places.hint("merge"), same).select(*others, "position")

@@ -94,3 +94,10 @@ def test_any_number_of_sources(spark, tmp_path, scratch, monkeypatch):
     assert {tuple(r) for r in mix(docs, scratch.__class__(spark, "large"), block=2, slots=50, any_number=True).collect()} == few
     for sf in ("sf0.001", "sf0.1"):
         assert found(QUERIES["op2_mixing"](spark, f"/root/testdata/{sf}")) == expected(connect(f"/root/testdata/{sf}"), ORACLE_SQL["op2_mixing"])
+
+
+def test_columns_with_our_names_stay(spark, scratch, odd_docs):
+    docs = odd_docs.selectExpr("*", "1 AS key", "2 AS of", "3 AS at", "4 AS _position", "5 AS _id", "6 AS Position")
+    got = in_mixture_order(docs, scratch)
+    assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(map(str, docs.collect()))
+    assert in_mixture_order(docs.limit(0), scratch.__class__(spark, "none")).count() == 0
