@@ -70,8 +70,7 @@ def reconcile(model: Model, first: str, second: str, dims: Sequence[str] | None
     """``pass``, ``fail`` with one place where they differ, or ``inconclusive``.
 
     The total is always compared, and each column of few values (or the given
-    grain).  All grains come from one pass with grouping sets where plain
-    aggregates allow it.
+    grain), with one query a grain up to the first that differs.
     """
     try:
         analyzer, trees = _both(model, first, second)
