@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattiq.checkpoints import ensure_folder
 from lattiq.session import importable
 
 #: Bytes of text of a slice of documents that a Python worker holds at a time.
@@ -28,19 +28,12 @@ HOLD_OUT = 3
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only a session on one machine may leave it unset; it then gets a temporary
-    folder of its own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="lattiq-")
-    spark.sparkContext.setCheckpointDir(base)
-    return base
+    """The folder that driver and executors share (``spark.checkpoint.dir``); where that is unset, what ``ensure_folder`` sets."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        ensure_folder(spark)
+        base = spark.sparkContext.getCheckpointDir()
+    return base.rstrip("/")
 
 
 class Scratch:

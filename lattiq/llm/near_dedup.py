@@ -43,8 +43,8 @@ from lattiq.llm.common import Scratch, check_columns, fresh, map_arrow, slices
 WORDS = 5
 K, ROWS = 128, 4
 FINE = 512
-#: Nodes in a block of a bucket.
-BLOCK = 256
+#: Nodes in a block of a bucket: so many are compared in pairs by their sketches, a constant for each node.
+BLOCK = 2048
 #: Chance that fine buckets of disjoint sets agree: equal zero counts (a third) times equal mantissas.
 CHANCE = 1 / 48
 #: Standard errors below the threshold at which an estimate rules a pair out.

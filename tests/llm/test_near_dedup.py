@@ -5,9 +5,11 @@ import re
 
 import numpy as np
 import pytest
+from oracle import connect, expected, found
 from pyspark.sql import functions as F
 
 from lattiq.llm import near_dedup as nd
+from lattiq.llm.queries import ORACLE_SQL, QUERIES
 
 
 def word_shingles(text):
@@ -160,3 +162,8 @@ def test_columns_with_our_names_stay(spark, scratch, odd_docs):
     kept = nd.drop_near_copies(docs, scratch)
     assert kept.columns == docs.columns and kept.filter("doc_id = 5").count() == 0 and kept.filter("gone <> 1 OR _gone <> 2").count() == 0
     assert nd.drop_near_copies(docs.limit(0), scratch.__class__(spark, "none")).count() == 0
+
+
+def test_query_equals_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    assert found(QUERIES["op4_near_dedup"](spark, sf)) == expected(connect(sf), ORACLE_SQL["op4_near_dedup"])
