@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's docs.  All but the last
 return the columns of ``documents``.
+
+Nulls, empty and very long texts, repeated rows, empty tables and columns of
+any name have the results that the operators' docstrings state: rows without
+doc_id are kept apart from near copies and have places in the mixture like
+others, and no rows in give no rows out.
 """
 
 from __future__ import annotations

@@ -168,7 +168,9 @@ def read_archives(manifest: DataFrame, keep_payload: bool = False, range_bytes:
     A response's digest is computed from the payload read and must agree with
     its header; a revisit has both from its headers.  With ``keep_payload``
     also payload (null for revisits).  Bytes that are no member with a WARC
-    record are passed over.
+    record are passed over.  Each record gives a row, also where records
+    repeat a page_id or have none; rows are in no order, and a manifest
+    without archives gives none.
     """
     ranges = manifest.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
     n_ranges, n_bytes = manifest.agg(F.sum(F.ceil(F.col("bytes") / range_bytes)), F.sum("bytes")).first()
