@@ -235,33 +235,39 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of different components that share a bucket and may be similar by their sketches.
 
     rows: key, node, comp, main (the bucket's largest component), n, fine,
-    chunks.  All nodes stay in their own block of a bucket, those of other
-    components than the main one are sent to its other blocks as well.  A
-    pair may be given by several buckets.
+    regs, chunks.  All nodes stay in their own block of a bucket, those of
+    other components than the main one are sent to its other blocks as well.
+    Where a bucket is that of a band, pairs that share an earlier band are
+    left to that one: its bucket is open too and compared as well, or has no
+    other nodes, and then its hub has been compared.
     """
     own = F.pmod(F.xxhash64("node"), F.col("chunks"))
     visits = F.when(F.col("comp") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     rows = rows.withColumn("own", own).withColumn("block", F.explode(visits))
-    rows = rows.select("key", "block", (F.col("own") == F.col("block")).alias("home"), (F.col("comp") == F.col("main")).alias("main"), "node", "comp", "n", "fine")
+    rows = rows.select("key", "block", (F.col("own") == F.col("block")).alias("home"), (F.col("comp") == F.col("main")).alias("main"), "node", "comp", "n", "fine", "regs")
     rows = rows.repartition("key", "block").sortWithinPartitions("key", "block")
 
-    def pairs_of(home, main, node, comp, n, fine):
+    def pairs_of(key, home, main, node, comp, n, fine, regs):
         x = np.frombuffer(b"".join(fine), np.uint8).reshape(len(node), FINE)
+        bands = np.frombuffer(b"".join(regs), np.uint64).reshape(len(node), K // ROWS)
+        band = np.flatnonzero(band_keys(np.frombuffer(regs[0], np.uint16)) == key)
+        earlier = bands[:, : band[0] if len(band) else 0]
         here = np.flatnonzero(home)
         for p in np.flatnonzero(~main).tolist():
             # Of two visitors of each other the lesser one asks; who is of the main component never does.
             q = here[(comp[here] != comp[p]) & (main[here] | (node[p] < node[here]))]
             q = q[100 * np.minimum(n[q], n[p]) >= percent * np.maximum(n[q], n[p])]
             if len(q):
-                for r in q[may_reach(x[q], n[q], x[p], n[p], percent)].tolist():
+                q = q[may_reach(x[q], n[q], x[p], n[p], percent)]
+                for r in q[(earlier[q] != earlier[p]).all(1)].tolist():
                     yield (node[p], node[r]) if node[p] < node[r] else (node[r], node[p])
 
     def run(batches):
-        now, held, fine, seen = None, [[], [], [], [], []], [], set()
+        now, held, fine, regs, seen = None, [[], [], [], [], []], [], [], set()
 
         def close():
             if now is not None and len(fine) > 1:
-                seen.update(pairs_of(*map(np.array, held), fine))
+                seen.update(pairs_of(now[0], *map(np.array, held), fine, regs))
 
         def give():
             out = sorted(seen)
@@ -276,10 +282,11 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
             for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
                 if (at := (key[s], block[s])) != now:
                     close()
-                    now, held, fine = at, [[], [], [], [], []], []
+                    now, held, fine, regs = at, [[], [], [], [], []], [], []
                 for h, part in zip(held, others):
                     h.extend(part[s:e].tolist())
                 fine.extend(batch.column(7).slice(s, e - s).to_pylist())
+                regs.extend(batch.column(8).slice(s, e - s).to_pylist())
             if len(seen) > 50_000:
                 yield give()
         close()
@@ -326,8 +333,8 @@ def _open_buckets(labelled: DataFrame, at_least: int, scratch: Scratch, name: st
 
 def late_pairs(labelled: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs that hubs left open and that may be similar by sizes and sketches; labelled: key, node, comp of the buckets' nodes."""
-    slim = nodes.select("node", "n", "fine")
-    found = lambda buckets, rows: _cross_pairs(_merged(_merged(rows, buckets, "key"), slim, "node").select("key", "node", "comp", "main", "n", "fine", "chunks"), percent)
+    slim = nodes.select("node", "n", "fine", "regs")
+    found = lambda buckets, rows: _cross_pairs(_merged(_merged(rows, buckets, "key"), slim, "node").select("key", "node", "comp", "main", "n", "fine", "regs", "chunks"), percent)
     # In a bucket of two the one pair there is was compared with its hub.
     buckets = scratch.cut(_open_buckets(labelled, 3, scratch, "sizes-1"), "open")
     pairs = found(buckets.filter(F.col("size") <= BLOCK).select("key", "main", F.lit(1).cast("long").alias("chunks")), labelled)

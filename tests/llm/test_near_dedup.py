@@ -131,7 +131,7 @@ def test_a_bucket_of_unlike_nodes_gives_few_rows(spark, scratch, monkeypatch):
     rng = random.Random(9)
     frame = words(rng, 30)
     docs = spark.createDataFrame([(i, " ".join([*frame, *(f"u{i}x{j}" for j in range(30))])) for i in range(20_000)], "doc_id long, text string")
-    sketched = nd.sketch(docs).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "fine", "packed")
+    sketched = nd.sketch(docs).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "fine", "regs", "packed")
     nodes = scratch.cut(sketched, "nodes")
     labelled = nodes.select(F.lit(7).cast("long").alias("key"), "node", F.col("node").alias("comp"))
     sent = []
