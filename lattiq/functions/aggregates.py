@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lattiq.errors import UnsupportedCalc
 from lattiq.functions.registry import Function
-from lattiq.plans.nodes import BOOL, INT, REAL, TEXT
+from lattiq.plans.nodes import BOOL, INT, REAL, TEXT, Node
 
 AGGREGATES: dict[str, Function] = {}
 
@@ -16,6 +18,15 @@ def _add(name: str, params: str, result, build, optional: int = 0) -> None:
     AGGREGATES[name] = Function(name, params, result, build, optional)
 
 
+@dataclass(frozen=True, eq=False)
+class Percentile:
+    """An exact percentile of a column, ``of`` a tree; ``plans.percentiles.grouped`` aggregates it."""
+
+    x: Column
+    at: float
+    of: Node | None = None
+
+
 def attr(x: Column) -> Column:
     """The value if it is the only one (nulls count as a value of their own), else ``*``.
 
@@ -44,12 +55,12 @@ _add("MIN", "a", lambda x: x, F.min)
 _add("MAX", "a", lambda x: x, F.max)
 _add("COUNT", "a", INT, F.count)
 _add("COUNTD", "a", INT, F.count_distinct)
-_add("MEDIAN", "n", REAL, lambda x: F.median(x.cast("double")))
+_add("MEDIAN", "n", REAL, lambda x: Percentile(x.cast("double"), 0.5))
 _add("STDEV", "n", REAL, F.stddev_samp)
 _add("STDEVP", "n", REAL, F.stddev_pop)
 _add("VAR", "n", REAL, F.var_samp)
 _add("VARP", "n", REAL, F.var_pop)
-_add("PERCENTILE", "nk", REAL, lambda x, k: F.percentile(x.cast("double"), k))
+_add("PERCENTILE", "nk", REAL, lambda x, k: Percentile(x.cast("double"), k))
 _add("ATTR", "a", TEXT, attr)
 _add("GROUP_CONCAT", "as", TEXT, group_concat, 1)
 _add("CORR", "nn", REAL, lambda x, y: _paired(F.corr, x, y))
@@ -63,11 +74,12 @@ def _paired(f, x: Column, y: Column) -> Column:
     return F.when(~F.isnan(found), found)
 
 
-def aggregate(name: str, args, columns: list[Column], dtypes: list[str]) -> Column:
-    """The aggregate column. Booleans: MIN is AND, MAX is OR, null counts as false."""
+def aggregate(name: str, args, columns: list[Column], dtypes: list[str]) -> Column | Percentile:
+    """The aggregate column, or the percentile to aggregate. Booleans: MIN is AND, MAX is OR, null counts as false."""
     if name in ("MIN", "MAX") and dtypes[0] == BOOL:
         return (_least if name == "MIN" else _most)(columns[0])
-    return AGGREGATES[name].column(args, columns)
+    found = AGGREGATES[name].column(args, columns)
+    return replace(found, of=args[0]) if isinstance(found, Percentile) else found
 
 
 #: Outer aggregates of LOD expressions, over the distinct grain.

@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattiq.errors import UnsupportedCalc
-from lattiq.functions.aggregates import AGGREGATES, REAGGREGATES, aggregate
+from lattiq.functions.aggregates import AGGREGATES, REAGGREGATES, Percentile, aggregate
 from lattiq.plans.analysis import AGG, CONST, LOD, ROW, Lowerer
 from lattiq.plans.nodes import Call, Field, Lod, Node, Slot
+from lattiq.plans.percentiles import grouped
 
 _numbers = count()
 
@@ -95,7 +96,7 @@ class Grain:
         self.analyzer, self.dims = rows.analyzer, dims
         self.rows, trees = rows.with_fixed(*[d for _, d in dims])
         self.row_dims = [(n, d) for (n, _), d in zip(dims, trees)]
-        self.aggs: dict[Node, tuple[str, Column]] = {}
+        self.aggs: dict[Node, tuple[str, Column | Percentile]] = {}
         self.inner: dict[tuple, Inner] = {}
 
     def add(self, node: Node) -> Node:
@@ -148,13 +149,13 @@ class Grain:
 
     def frame(self) -> DataFrame:
         """One row for each combination of the dimensions, with all columns that ``add`` promised."""
-        dims = [self.rows.column(d).alias(n) for n, d in self.row_dims]
-        aggs = [c.alias(n) for n, c in self.aggs.values()]
+        dims = {n: self.rows.column(d) for n, d in self.row_dims}
+        aggs = dict(self.aggs.values())
         rows = self.rows.df
         if aggs:
-            out = rows.groupBy(*dims).agg(*aggs)
+            out = grouped(rows, dims, aggs)
         elif dims:
-            out = rows.select(*dims).distinct()
+            out = rows.select(*[c.alias(n) for n, c in dims.items()]).distinct()
         else:
             out = rows.groupBy().agg(F.count(F.lit(1)).alias(fresh("rows")))
         for inner in self.inner.values():
@@ -173,7 +174,7 @@ class Inner:
     def __init__(self, grain: Grain, keys: list[tuple[str, str]], again: bool):
         self.grain, self.keys, self.again = grain, keys, again
         self.values: dict[Node, tuple[str, Node]] = {}
-        self.outer: dict[str, Column] = {}
+        self.outer: dict[str, Column | Percentile] = {}
 
     def value(self, body: Node) -> str:
         if body not in self.values:
@@ -183,4 +184,4 @@ class Inner:
     def frame(self) -> DataFrame:
         own = [k for _, k in self.keys]
         out = self.grain.frame().select(*(n for n, _ in self.grain.dims), *[self.grain.column(t).alias(v) for v, t in self.values.values()])
-        return out.groupBy(*own).agg(*[c.alias(n) for n, c in self.outer.items()]) if self.again else out
+        return grouped(out, {k: F.col(k) for k in own}, self.outer) if self.again else out
